@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import pii, quality
 
 QUERIES = {
     "op6_quality": quality.op6_quality,
+    "op8_pii": pii.op8_pii,
 }
 ORACLES: dict[str, str] = {}
