@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import chat, pii, quality, warc
 
 QUERIES = {
+    "op3_chat": chat.op3_chat,
+    "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op8_pii": pii.op8_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_chat": chat.ORACLE,
+    "op5_warc": warc.ORACLE,
+}
