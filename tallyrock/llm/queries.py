@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, pii, quality, warc
+from . import chat, pii, quality, toxicity, warc
 
 QUERIES = {
     "op3_chat": chat.op3_chat,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op8_pii": pii.op8_pii,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op3_chat": chat.ORACLE,
