@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, pii, quality, toxicity, warc
+from . import chat, packing, pii, quality, toxicity, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op3_chat": chat.op3_chat,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
