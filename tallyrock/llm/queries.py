@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, packing, pii, quality, toxicity, warc
+from . import chat, packing, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_chat": chat.op3_chat,
+    "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op8_pii": pii.op8_pii,
