@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, packing, pii, quality, sharding, toxicity, warc
+from . import chat, near, packing, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op10_near": near.op10_near,
     "op3_chat": chat.op3_chat,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
