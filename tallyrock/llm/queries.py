@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, near, packing, pii, quality, sharding, toxicity, warc
+from . import chat, near, packing, pii, quality, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
 }
