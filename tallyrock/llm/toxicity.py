@@ -50,7 +50,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return features(*utf8(pa.array(texts, pa.string())))
+    """features() of many texts, by chunks."""
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    hashed, owner = [np.zeros((1 + len(BEGINNINGS), 0), np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(offsets):
+        h, o = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hashed.append(h)
+        owner.append(o + i)
+    return np.concatenate(hashed, 1), np.concatenate(owner)
 
 
 def language_table() -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +84,7 @@ def padded(hashed: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     pad = max(WIDTHS)
     counts = np.bincount(owner, minlength=n)
     starts = np.concatenate(([0], np.cumsum(counts + pad)))
-    ids = np.zeros((len(hashed), starts[-1]), np.int64)
+    ids = np.zeros((len(hashed), starts[-1]), np.int32)
     ids[:, np.arange(len(owner)) + owner * pad] = 1 + (hashed >> np.uint64(20)) % np.uint64(BUCKETS - 1)
     return ids, starts
 
@@ -125,6 +132,7 @@ class Classifier:
         rng = np.random.default_rng(SEED)
         hashed, owner = hashed_words(texts)
         ids, starts = padded(hashed, owner, len(texts))
+        del hashed, owner
         kept = np.arange(len(texts)) % CALIBRATE != 0
         if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
             kept[:] = True
