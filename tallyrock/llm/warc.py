@@ -1,6 +1,6 @@
 """Content-addressed WARC archive.
 
-Each page becomes a WARC record. The archive is two tables: ``payloads`` holds each different payload once under its SHA-256,
+Each page becomes a WARC record. The archive is two tables: ``payloads`` holds each different payload once, compressed, under its SHA-256,
 ``records`` holds the exact header bytes of each record with the digest of its payload. Reading joins them, checks the stored
 bytes against their address, and gives back the record: header, payload and the closing line ends. Of records with equal
 payloads of at least ``REVISIT_FROM`` bytes, that with the largest id is the response; the others are revisits that refer to
@@ -18,12 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, table
+from .common import Staged, free_shuffles, table
 
 REVISIT_FROM = 1000
+EXPANDED_BYTES = 4 << 20
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -44,6 +46,34 @@ def header(kind: Column, refers_to: Column) -> Column:
     return F.encode(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)), "UTF-8")
 
 
+def compressed(df: DataFrame) -> DataFrame:
+    """The last column, a payload, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([squeeze(x.as_py()) for x in batch.columns[-1]], pa.binary())], names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def expanded(df: DataFrame) -> DataFrame:
+    """The last column, a compressed payload, in full; the rows of a batch of at most EXPANDED_BYTES, or one larger payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for k, x in enumerate(batch.columns[-1], 1):
+                held.append(expand(x.as_py()))
+                size += len(held[-1])
+                if size >= EXPANDED_BYTES or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k - start) for c in batch.columns[:-1]), pa.array(held, pa.binary())], names=batch.schema.names)
+                    held, size, start = [], 0, k
+
+    return df.mapInArrow(run, df.schema)
+
+
 def write_archive(pages: DataFrame, out: Staged) -> None:
     """Stores pages (page_id, url, html) as the tables payloads and records."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -57,14 +87,18 @@ def write_archive(pages: DataFrame, out: Staged) -> None:
     first = (place == F.col("best")) & (F.col("copy") == 1)
     kind = F.when((F.col("bytes") < REVISIT_FROM) | first, "response").otherwise("revisit")
     out.put(rows.select("sha256", header(kind, F.col("best_id")).alias("header")), "records")
-    held = keyed.join(best.select("_sha", F.col("best.id").alias("_id")), (F.col("sha256") == F.col("_sha")) & (F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("_id")), "left_semi")
-    out.put(held.select("sha256", "payload").dropDuplicates(["sha256"]), "payloads")
+    free_shuffles(pages.sparkSession)
+    # dealt by digest and id, which the join and the removal of equal rows share: payloads move once
+    owned = compressed(keyed.select("sha256", F.coalesce("page_id", F.lit(-(1 << 63))).alias("_id"), "payload"))
+    held = owned.join(best.select(F.col("_sha").alias("sha256"), F.col("best.id").alias("_id")), ["sha256", "_id"], "left_semi")
+    out.put(held.dropDuplicates(["sha256", "_id"]).select("sha256", "payload"), "payloads")
+    free_shuffles(pages.sparkSession)
 
 
 def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """(header, payload) of each record, the payload in full also for revisits; fails on bytes that don't match their address."""
-    checked = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("stored payload doesn't match its digest")).cast("binary")))
-    return records.join(checked, "sha256")
+    found = expanded(records.join(payloads, "sha256").select("sha256", "header", "payload"))
+    return found.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("stored payload doesn't match its digest")).cast("binary")))
 
 
 def records_of(archive: DataFrame) -> DataFrame:
