@@ -89,20 +89,26 @@ def with_uid(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     most = df.groupBy(id_col).count().filter("count > 1").select("count").limit(1).collect()
     if found["n"] == found["present"] and not most:
         return df.withColumn("uid", F.col(id_col).cast("long"))
-    numbered = df.withColumn("_at", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    numbered = df.withColumn("_uid_at", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
     parts = checkpoint(
-        numbered.repartitionByRange(F.col(id_col).asc_nulls_first(), F.col("_at"))
-        .sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col("_at"))
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+        numbered.repartitionByRange(F.col(id_col).asc_nulls_first(), F.col("_uid_at"))
+        .sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col("_uid_at"))
+        .withColumn("_uid_part", F.spark_partition_id())
+        .withColumn("_uid_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     )
-    sizes = sorted(parts.groupBy("_part").count().collect())  # a row per partition
+    sizes = sorted(parts.groupBy("_uid_part").count().collect())  # a row per partition
     starts, total = [], 0
     for part, n in sizes:
         starts.append((part, total))
         total += n
     base = F.create_map(*[F.lit(x) for pair in starts or [(0, 0)] for x in pair])
-    return parts.withColumn("uid", (F.element_at(base, F.col("_part")) + F.col("_row")).cast("long")).drop("_at", "_part", "_row")
+    return parts.withColumn("uid", (F.element_at(base, F.col("_uid_part")) + F.col("_uid_row")).cast("long")).drop("_uid_at", "_uid_part", "_uid_row")
+
+
+def as_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, text, _row): rows of any columns, of whatever names, with what the operators need beside them."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return with_uid(rows, "_id", "text").select("uid", "text", "_row")
 
 
 # --- numpy over UTF-8 -------------------------------------------------------------------------------------------------

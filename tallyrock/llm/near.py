@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, BASE2, Staged, by_key, checkpoint, chunks, free_shuffles, hashes, lined, mix, sums, table, utf8, with_uid, words
+from .common import BASE, BASE2, Staged, as_rows, by_key, checkpoint, chunks, free_shuffles, hashes, lined, mix, sums, table, utf8, with_uid, words
 from .graph import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9998
@@ -340,9 +340,9 @@ def near_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one of each class stays, the first by (id, text)."""
-    given = with_uid(docs, id_col, text_col)
-    first = near_classes(given.select("uid", F.col(text_col).alias("text"))).filter("uid = class_id").select("uid")
-    return given.join(first, "uid", "left_semi").select(*docs.columns)
+    rows = as_rows(docs, id_col, text_col)
+    first = near_classes(rows.select("uid", "text")).filter("uid = class_id").select("uid")
+    return rows.select("uid", "_row").join(first, "uid", "left_semi").select("_row.*")
 
 
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,13 +115,13 @@ def placed(df: DataFrame, text: str, kind: str) -> DataFrame:
     return df.drop(found, f"{found}_gaps", length, f"{before}_sums", before)
 
 
-def find_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds pii_spans: array<struct<kind, start, end, score>> by kind as listed, then start; code points, end exclusive."""
+def find_spans(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
+    """Adds spans_col: array<struct<kind, start, end, score>> by kind as listed, then start; code points, end exclusive."""
     df = df.withColumn("_pii_text", F.coalesce(F.col(text_col), F.lit("")))
     for kind in KINDS:
         df = placed(df, "_pii_text", kind)
     named = lambda k: F.transform(f"_pii__{k}", lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
-    return df.withColumn("pii_spans", F.concat(*map(named, KINDS))).drop("_pii_text", *(f"_pii__{k}" for k in KINDS))
+    return df.withColumn(spans_col, F.concat(*map(named, KINDS))).drop("_pii_text", *(f"_pii__{k}" for k in KINDS))
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
@@ -139,6 +139,14 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans")
     return df.withColumn("_pii_ordered", ordered).withColumn(text_col, F.when(F.size("_pii_ordered") > 0, done).otherwise(F.col(text_col))).drop("_pii_ordered")
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with the personal data of text replaced, and n_chars, where there is one, counted again."""
+    out = redact(find_spans(docs, spans_col="_pii_spans"), spans_col="_pii_spans")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii_spans")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

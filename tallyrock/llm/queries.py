@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, near, packing, pii, quality, sharding, suffixes, toxicity, warc
+from . import chat, decontam, near, packing, pii, quality, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op10_near": near.op10_near,
+    "op2_decontam": decontam.op2_decontam,
     "op3_chat": chat.op3_chat,
     "op4_sharding": sharding.op4_sharding,
     "op5_warc": warc.op5_warc,

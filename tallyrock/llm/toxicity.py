@@ -235,22 +235,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     return model
 
 
-def scored(df: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score and predicted to the columns in keep (all if None)."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
-    given = df.select(*keep, df[text_col].alias("_text_scored"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def scored(df: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds score and predicted, under the given names, to the columns in keep (all if None)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    given = df.select(*keep, F.col(text_col).alias("_text_scored")) if text_col not in keep else df.select(*keep)
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    schema = T.StructType([*given.schema.fields[: len(keep)], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(len(keep)))
+            data, offsets = utf8(batch.column(at))
             for i, j in chunks(offsets):
                 score = model.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, *names])
 
     return given.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic."""
+    names = ("_toxic_score", "_toxic")
+    return scored(docs, train(docs, labels), names=names).filter(F.col(names[1]) == 0).drop(*names)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
