@@ -1,7 +1,57 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate, redact and pack documents."""
+"""The corpus pipeline: toxic documents go, one of each group of near duplicates stays, documents that hold a benchmark item go,
+personal data is replaced, and what is left is tokenized and packed.
 
-STAGES = []
+Each stage works on all that the one before kept. Its result is written as Parquet and read again, so a stage that fails is
+run again from there. All stages but the last return the columns of documents. Null and empty texts pass the first four
+stages unchanged; an empty table gives an empty result.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyrock.llm import decontam, near, packing, pii, toxicity
+from tallyrock.llm.common import Staged, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+#: The classifier of the first stage can't be expressed in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = Staged(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged.put(docs, name)
+            if k:
+                staged.drop(STAGES[k - 1][0])
+    return docs
