@@ -9,12 +9,13 @@ or earlier in the same text. Matches are within one text each and are judged on
    is sorted by multikey quicksort, and of equal segments all but the first are repeats. A segment that is the only one of
    its gram is done; others, and those at a bucket's edge, are contested. This leaves the few suffixes that begin near a
    difference.
-2. All suffixes of contested segments are range-partitioned by their leading bytes and a hash of their ``LENGTH`` bytes, and
-   sorted likewise. One equal to the suffix before it is a repeat; the first of a bucket is compared with the last of the
-   bucket before.
+2. The bytes of contested segments are range-partitioned by anchor gram; in a bucket all their suffixes are sorted likewise, by
+   their leading bytes and a hash of their ``LENGTH`` bytes, and one equal to the suffix before it is a repeat. Of grams with more
+   than ``FREQUENT`` contested segments the suffixes themselves are range-partitioned, and the first of a bucket is compared
+   with the last of the bucket before.
 3. Repeats give intervals, which meet their texts by a join and are cut out.
 
-A frequent gram or suffix is spread over as many buckets as its rows need, since ties are split by place. Two 64-bit hashes,
+So a frequent gram or suffix is spread over as many buckets as its rows need, since ties are split by place. Two 64-bit hashes,
 of the gram or the leading bytes and of the whole, stand for the strings compared.
 
 Null texts are empty; texts below ``LENGTH`` bytes lose nothing; of equal rows the later loses all of it; an empty table gives
@@ -37,6 +38,8 @@ from .common import Staged, checkpoint, chunks, free_shuffles, hashes, sums, tab
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose sparse suffixes, and contested suffixes, a bucket should have.
 TEXT_PER_BUCKET, SUFFIXES_PER_BUCKET = 24 << 20, 1 << 20
+#: Contested segments of a gram that one bucket compares.
+FREQUENT = 4096
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -106,7 +109,7 @@ def bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarr
 
 
 def judged_segments(sparse: DataFrame, buckets: int) -> DataFrame:
-    """(uid, lo, hi, contested): repeated segments, and those whose windows must be compared one by one."""
+    """(a, uid, lo, hi, contested): repeated segments, and those whose windows must be compared one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, uid, place = bucket(batches, ["a", "b", "uid", "place"])
@@ -123,41 +126,85 @@ def judged_segments(sparse: DataFrame, buckets: int) -> DataFrame:
         varied[[0, -1]] = True
         contested = ~repeat & varied[group]
         out = repeat | contested
-        yield pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(place[out] >> 32), pa.array(place[out] & 0xFFFFFFFF), pa.array(contested[out])], names=["uid", "lo", "hi", "contested"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(uid[out]), pa.array(place[out] >> 32), pa.array(place[out] & 0xFFFFFFFF), pa.array(contested[out])], names=["a", "uid", "lo", "hi", "contested"])
 
-    return sparse.repartitionByRange(buckets, "a", "b", "uid", "place").mapInArrow(run, "uid long, lo long, hi long, contested boolean")
+    return sparse.repartitionByRange(buckets, "a", "b", "uid", "place").mapInArrow(run, "a long, uid long, lo long, hi long, contested boolean")
 
 
-def suffixes(docs: DataFrame, contested: DataFrame) -> DataFrame:
-    """(a, b, uid, place): leading bytes, hash and start of the suffixes in the contested segments."""
-    listed = contested.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+def contested_bytes(docs: DataFrame, contested: DataFrame) -> DataFrame:
+    """(a, frequent, uid, lo, bytes) of contested segments: all bytes of their windows."""
+    listed = contested.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "a", "frequent")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = batch.column(0).to_numpy()
-            spans, first = batch.column(1).flatten(), np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy())))
+            uid = batch.column(0)
+            spans, count = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy()
             lo, hi = spans.field(0).to_numpy(), spans.field(1).to_numpy()
             data, offsets = utf8(batch.column(2))
-            for i, j in chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
-                prefix = sums(part)
-                own = np.repeat(np.arange(i, j), np.diff(first[i : j + 1]))
-                begin, count = lo[first[i] : first[j]], (hi - lo)[first[i] : first[j]] + 1
-                row = np.repeat(own, count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-                place = at + offsets[row] - offsets[i]
-                lead = np.zeros(len(place), np.uint64)
-                for k in range(8):
-                    lead = lead << np.uint64(8) | part[place + k].astype(np.uint64)
-                # as a signed number in the order of the bytes
-                yield pa.RecordBatch.from_arrays([pa.array((lead ^ np.uint64(1 << 63)).view(np.int64)), pa.array(hashes(prefix, place, place + LENGTH).view(np.int64)), pa.array(uid[row]), pa.array(at)], names=["a", "b", "uid", "place"])
-
-    found = listed.join(docs.select(F.col("uid"), F.col("text")), "uid").select("uid", "spans", "text")
-    return found.mapInArrow(run, "a long, b long, uid long, place long")
+            row = np.repeat(np.arange(len(count)), count)
+            own = [data[x : y + LENGTH].tobytes() for x, y in zip(offsets[row] + lo, offsets[row] + hi, strict=True)]
+            yield pa.RecordBatch.from_arrays([spans.field(2), spans.field(3), uid.take(pa.array(row)), pa.array(lo), pa.array(own, pa.binary())], names=["a", "frequent", "uid", "lo", "bytes"])
+
+    found = listed.join(docs.select("uid", "text"), "uid").select("uid", "spans", "text")
+    return found.mapInArrow(run, "a long, frequent boolean, uid long, lo long, bytes binary")
+
+
+def expand(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """Leading bytes, hash, uid and start of the suffixes of rows (.., uid, lo, bytes)."""
+    uid, lo = (batch.column(c).to_numpy() for c in ("uid", "lo"))
+    raw = batch.column("bytes")
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    data, offsets = utf8(pa.Array.from_buffers(pa.large_string(), len(raw), raw.cast(pa.large_binary()).buffers(), offset=raw.cast(pa.large_binary()).offset))
+    out = []
+    for i, j in chunks(offsets):
+        part, begin = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i]
+        count = np.diff(offsets[i : j + 1]) - LENGTH + 1
+        row = np.repeat(np.arange(j - i), count)
+        shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place, prefix = begin[row] + shift, sums(part)
+        lead = np.zeros(len(place), np.uint64)
+        for k in range(8):
+            lead = lead << np.uint64(8) | part[place + k].astype(np.uint64)
+        # the sign bit is turned, so that signed numbers have the order of the bytes
+        out.append(((lead ^ np.uint64(1 << 63)).view(np.int64), hashes(prefix, place, place + LENGTH).view(np.int64), uid[i:j][row], lo[i:j][row] + shift))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def repeated_runs(a: np.ndarray, b: np.ndarray, uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of sorted suffixes: uid, first and last start of the runs of starts at which a suffix equals the one before it."""
+    at = np.flatnonzero(np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    at = at[np.lexsort((place[at], uid[at]))]
+    begins = np.ones(len(at), bool)
+    begins[1:] = (uid[at[1:]] != uid[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)
+    ends = np.append(begins[1:], True)[: len(at)]
+    return uid[at[begins]], place[at[begins]], place[at[ends]]
+
+
+def judged_within(segments_: DataFrame, buckets: int) -> DataFrame:
+    """(uid, lo, hi): suffixes that equal an earlier one, of grams that are whole in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            keys = expand(pa.Table.from_batches(held))
+            order = multikey_sort(*keys)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, repeated_runs(*(k[order] for k in keys)))], names=["uid", "lo", "hi"])
+
+    return segments_.repartitionByRange(buckets, "a").mapInArrow(run, "uid long, lo long, hi long")
+
+
+def suffixes(segments_: DataFrame) -> DataFrame:
+    """(a, b, uid, place): leading bytes, hash and start of the suffixes of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, expand(batch))], names=["a", "b", "uid", "place"])
+
+    return segments_.mapInArrow(run, "a long, b long, uid long, place long")
 
 
 def judged_suffixes(all_suffixes: DataFrame, buckets: int) -> DataFrame:
-    """(uid, lo): suffixes that equal an earlier one."""
+    """(uid, lo, hi): suffixes that equal an earlier one, wherever they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -166,17 +213,11 @@ def judged_suffixes(all_suffixes: DataFrame, buckets: int) -> DataFrame:
             return
         order = multikey_sort(a, b, uid, place)
         a, b, uid, place = a[order], b[order], uid[order], place[order]
-        repeat = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        # runs of repeats in one text are one row: they lie apart in this order, so sort them by place
-        at = np.flatnonzero(repeat)
-        at = at[np.lexsort((place[at], uid[at]))]
-        begins = np.ones(len(at), bool)
-        begins[1:] = (uid[at[1:]] != uid[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)
-        first, last = at[begins], at[np.append(begins[1:], True)[: len(at)]]
+        owner, first, last = repeated_runs(a, b, uid, place)
         n = len(first)
         # the last row is the bucket's edge: its first suffix, to be judged, and its last one
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(uid[first], uid[0])), pa.array(np.append(place[first], place[0])), pa.array(np.append(place[last], place[0])), pa.array([None] * n + [number], pa.int32()), pa.array([None] * n + [[int(a[0]), int(b[0]), int(a[-1]), int(b[-1])]], pa.list_(pa.int64()))],
+            [pa.array(np.append(owner, uid[0])), pa.array(np.append(first, place[0])), pa.array(np.append(last, place[0])), pa.array([None] * n + [number], pa.int32()), pa.array([None] * n + [[int(a[0]), int(b[0]), int(a[-1]), int(b[-1])]], pa.list_(pa.int64()))],
             names=["uid", "lo", "hi", "bucket", "edge"],
         )
 
@@ -193,9 +234,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     judged = out.put(judged_segments(sparse_suffixes(docs), max(least, -(-size // TEXT_PER_BUCKET))), "segments")
     free_shuffles(spark)
-    contested = judged.filter("contested").select("uid", "lo", "hi")
+    contested = judged.filter("contested").select("a", "uid", "lo", "hi")
+    counts = contested.groupBy("a").agg((F.count(F.lit(1)) > FREQUENT).alias("frequent"))
     n = contested.agg(F.sum(F.expr("hi - lo + 1"))).first()[0] or 0
-    single = judged_suffixes(suffixes(docs, contested), max(least, -(-n // SUFFIXES_PER_BUCKET)))
+    buckets = max(least, -(-n // SUFFIXES_PER_BUCKET))
+    held = out.put(contested_bytes(docs, contested.join(counts, "a")), "bytes")
+    free_shuffles(spark)
+    single = judged_within(held.filter("not frequent"), buckets).unionByName(judged_suffixes(suffixes(held.filter("frequent")), buckets))
     spans = judged.filter("not contested").select("uid", "lo", "hi").unionByName(single)
     found = checkpoint(spans.groupBy("uid").agg(F.collect_list(F.struct(F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))).alias("spans")))
     out.drop()
