@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that a numpy kernel holds at once; only a single longer text goes beyond.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,22 +158,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    if (size, base) not in _powers:
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        if size <= 1 << 24:
-            _powers[size, base] = tuple(both)
-        return tuple(both)
-    return _powers[size, base]
+    """base**i and its inverse modulo 2**64 for i up to n. Tables for chunks are kept, larger ones are not."""
+    if base in _powers and len(_powers[base][0]) > n:
+        return _powers[base]
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full((n >> 18 << 18) + (1 << 18), b, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    if n <= 2 * CHUNK_BYTES:
+        _powers[base] = tuple(both)
+    return tuple(both)
 
 
 def sums(values: np.ndarray, base: int = BASE) -> np.ndarray:

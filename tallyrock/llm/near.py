@@ -37,7 +37,7 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9998
 TREES, DEPTH = 24, 7
 SKETCH, BLOCK, SEED = 0.55, 4096, 11
 #: Elements of a matrix that a task holds at once.
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 
 def depth_for(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -220,12 +220,12 @@ def tie(bucketed: DataFrame) -> DataFrame:
                 right = np.flatnonzero(block[lo:hi] != at_i[lo]) + lo
                 right = left if not len(right) else right
                 pa_, pb_ = [], []
-                step = max(1, CELLS // 8 // len(right))
+                step = max(1, CELLS // 4 // len(right))
                 for s in range(0, len(left), step):
                     x, y = np.nonzero(alike(flat[left[s : s + step]], flat[right]) >= SKETCH)
                     pa_.append(left[s + x])
                     pb_.append(right[y])
-                    if sum(map(len, pa_)) > CELLS // 4:  # as few ties as connect the same
+                    if sum(map(len, pa_)) > CELLS:  # as few ties as connect the same
                         pa_, pb_ = thinned(np.concatenate(pa_), np.concatenate(pb_), lo, hi)
                 pa_, pb_ = thinned(np.concatenate(pa_), np.concatenate(pb_), lo, hi)
                 out_a.append(uid[pa_[0]])
@@ -287,7 +287,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple
     for s in range(0, len(left), tall):
         some = left[s : s + tall]
         common = np.zeros((len(some), len(right)), np.float32)
-        step = max(1, CELLS // 4 // max(1, len(some) + len(right)))
+        step = max(1, CELLS // max(1, len(some) + len(right)))
         for c in range(0, max(wide, 1), step):
             common += incidence(some, first, column, c, step) @ incidence(right, first, column, c, step).T
         total = size[some][:, None] + size[right][None, :] - common

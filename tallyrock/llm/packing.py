@@ -41,21 +41,26 @@ class Tokens:
 
     def __init__(self, directory: str | None = None):
         import base64
-        import os
+        import json
+        import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = lambda name: f"{directory}/{name}" if directory else public_tokenizers.path(name)
-        self.whole = Tokenizer.from_file(path(TOKENIZER))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.whole = path(TOKENIZER), None
+        with open(self.path, encoding="utf-8") as f:
+            added = re.search(r'"added_tokens":\s*(\[.*?\])', f.read(), re.S)
+        self.special = [t["content"] for t in json.loads(added[1])] if added else []
         with open(path(TOKENIZER.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
+            if self.whole is None:  # rarely needed
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -30,7 +30,7 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 12
 BEGINNINGS = (4, 5)
 TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 6000, 4, 64, 0.02, 7
 #: Share of the training rows that only calibrate, and words of a text that the kernel holds at once.
-CALIBRATE, WORDS_AT_ONCE = 5, 1 << 17
+CALIBRATE, WORDS_AT_ONCE = 5, 1 << 16
 #: Frequent function words of the languages that thresholds are fitted for; other texts share one threshold.
 FUNCTION_WORDS = {
     "en": "the of and to in is that was for with as on by are this it from at be",
@@ -49,20 +49,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([hashed, *(mix(hashes(prefix, start, np.minimum(start + n, end)) + np.uint64(n)) for n in BEGINNINGS)]), owner
 
 
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """features() of many texts, by chunks."""
+def hashed_words(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """features() of texts by chunks: first text, end, hashes, and the text of each word within the chunk."""
     data, offsets = utf8(pa.array(texts, pa.string()))
-    hashed, owner = [np.zeros((1 + len(BEGINNINGS), 0), np.uint64)], [np.zeros(0, np.int64)]
     for i, j in chunks(offsets):
-        h, o = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        hashed.append(h)
-        owner.append(o + i)
-    return np.concatenate(hashed, 1), np.concatenate(owner)
+        yield i, j, *features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def language_table() -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the function words, sorted, and the languages that each speaks for."""
-    (hashed, *_), owner = hashed_words(list(FUNCTION_WORDS.values()))
+    _, _, (hashed, *_), owner = next(hashed_words(list(FUNCTION_WORDS.values())))
     keys = np.unique(hashed)
     votes = np.zeros((len(keys), LANGUAGES), np.float32)
     votes[np.searchsorted(keys, hashed), owner] = 1
@@ -130,9 +126,9 @@ class Classifier:
         if len(set(labels.tolist())) < 2 or len(labels) < 2 * CALIBRATE:
             return
         rng = np.random.default_rng(SEED)
-        hashed, owner = hashed_words(texts)
-        ids, starts = padded(hashed, owner, len(texts))
-        del hashed, owner
+        parts = [padded(hashed, owner, j - i) for i, j, hashed, owner in hashed_words(texts)]
+        ids, starts = np.concatenate([x for x, _ in parts], 1), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))))
+        del parts
         kept = np.arange(len(texts)) % CALIBRATE != 0
         if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
             kept[:] = True
@@ -194,9 +190,8 @@ class Classifier:
 
     def calibrate(self, texts: list[str], labels: np.ndarray, rows: np.ndarray) -> None:
         """For each guessed language the threshold with the fewest errors, drawn to that of all rows where rows are few."""
-        hashed, owner = hashed_words([texts[i] for i in rows])
-        z, y = self.logits(hashed, owner, len(rows)), labels[rows]
-        guess = guess_language(hashed[0], owner, len(rows))
+        found = [(self.logits(hashed, owner, j - i), guess_language(hashed[0], owner, j - i)) for i, j, hashed, owner in hashed_words([texts[i] for i in rows])]
+        z, guess, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), labels[rows]
         whole = best_threshold(z, y)
         self.scale = max(0.25, float(np.std(z)) / 2)
         for k in range(LANGUAGES):
