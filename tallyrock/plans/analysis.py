@@ -39,10 +39,10 @@ class Result:
 
 def analyse(
     listings: DataFrame, companies: DataFrame, gazetteer: Gazetteer | None, before: DataFrame, now: str, responses: DataFrame | None = None, previous: DataFrame | None = None, vocabulary: Vocabulary | None = None,
-    fetch: Callable | None = None, log: Callable[[str, dict], None] = lambda step, info: None,
+    fetch: Callable | None = None, log: Callable[[str, dict], None] = lambda step, info: None, persist: bool = True,
 ) -> Result:
     """Rows with issues and what they are counted with. Links come from responses (url, link_code, link_reason), from a fetch of a
-    sample, or from the previous rows. The rows are persisted, since every aggregate reads them; unpersist them when done."""
+    sample, or from the previous rows. The rows are persisted, since every aggregate reads them, unless told otherwise; unpersist them when done."""
     today = now[:10]
     catalog = enrich.companies(companies)
     rows = enrich.jobs(listings, catalog, gazetteer, now, vocabulary)
@@ -57,7 +57,8 @@ def analyse(
         rows = probe.carried_over(rows, previous)
     else:
         rows = rows.withColumn("link", F.lit("")).withColumn("link_code", F.lit(None).cast("int")).withColumn("link_reason", F.lit(""))
-    rows = checks.with_issues(dedupe.repeated(rows), now).persist()
+    rows = checks.with_issues(dedupe.repeated(rows), now)
+    rows = rows.persist() if persist else rows
     log("checked", {})
     return Result(rows, catalog, marked.state, marked.flow.first().asDict(), probe.per_host(rows), now, today)
 
