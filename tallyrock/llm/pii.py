@@ -8,7 +8,7 @@ with many matches costs little more than its length. Patterns take a run of char
 run's start or where the match before ended, which finds the same leftmost matches in one pass over any text.
 
 Null or empty texts have no spans; texts are taken whole; equal rows get equal spans; an empty table gives an empty result;
-other columns are passed on, of whatever name (working columns carry the prefix ``_pii_``).
+other columns are passed on, of whatever name.
 """
 
 from __future__ import annotations
@@ -77,51 +77,56 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def placed(df: DataFrame, text: str, kind: str) -> DataFrame:
-    """Adds _pii_<kind>: an array of structs (start, end, ok, score) for the kind's matches in the text."""
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: the optimiser would copy a column's expression into a lambda that reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def placed(text: Column, kind: str) -> Column:
+    """An array of structs (start, end, ok, score) of the kind's matches in the text that hold."""
     pattern, hint = PATTERNS[kind]
-    found, length, before, out = (f"_pii_{x}_{kind}" for x in ("found", "length", "before", ""))
-    some = F.col(text).rlike(hint)
-    none = F.lit(None).cast("array<string>")
-    df = df.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)).withColumn(f"{found}_gaps", F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
-    # the length of each piece before a match and of the match
-    pairs = F.transform(F.col(found), lambda m, i: F.struct(F.length(F.element_at(f"{found}_gaps", i + 1)).alias("gap"), F.length(m).alias("own")))
-    df = df.withColumn(length, F.when(F.size(found) > 0, pairs))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["own"])
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(length) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(F.col(length), b * BLOCK + 1, F.lit(BLOCK))))
-    df = df.withColumn(f"{before}_sums", F.when(F.size(length) > 0, blocks))
-    df = df.withColumn(before, F.transform(F.col(f"{before}_sums"), lambda s, b: F.when(b == 0, F.lit(0)).otherwise(F.aggregate(F.slice(F.col(f"{before}_sums"), F.lit(1), b), F.lit(0), lambda a, x: a + x))))
-
-    def start(i: Column) -> Column:
-        inside = (i % BLOCK).cast("int")
-        here = F.when(inside == 0, F.lit(0)).otherwise(total(F.slice(F.col(length), (i - inside + 1).cast("int"), inside)))
-        return F.element_at(before, (F.floor(i / BLOCK) + 1).cast("int")) + here + F.element_at(length, i + 1)["gap"]
-
-    def span(m: Column, i: Column) -> Column:
-        at = start(i)
-        ok = valid(kind, m)
-        if kind in SCORES:
-            prior, checksum, context = SCORES[kind]
-            gap = F.element_at(f"{found}_gaps", i + 1)
-            near = F.right(gap, F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind])
-            score = F.lit(prior) + F.when(ok, checksum).otherwise(0.0) + F.when(near, context).otherwise(0.0)
-        else:
-            score = F.when(ok, 1.0).otherwise(0.0)
-        return F.struct(at.alias("start"), (at + F.length(m)).alias("end"), ok.alias("ok"), score.cast("double").alias("score"))
-
-    spans = F.filter(F.transform(F.col(found), span), lambda s: s["ok"] & (s["score"] >= THRESHOLD))
     empty = F.array().cast("array<struct<start:int,end:int,ok:boolean,score:double>>")
-    df = df.withColumn(out, F.coalesce(F.when(F.size(found) > 0, spans), empty))
-    return df.drop(found, f"{found}_gaps", length, f"{before}_sums", before)
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["own"])
+
+    def spans(found: Column, gaps: Column) -> Column:
+        # the length of the piece before each match, and of the match
+        pairs = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), F.length(m).alias("own")))
+        return let(pairs, lambda lengths: let(block_sums(lengths), lambda sums: let(starts(sums), lambda before: confirmed(found, gaps, lengths, before))))
+
+    def block_sums(lengths: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def starts(sums: Column) -> Column:
+        """What lies before each block, itself summed by blocks of blocks."""
+        inside = lambda b: F.aggregate(F.slice(sums, b - b % BLOCK + 1, b % BLOCK), F.lit(0), lambda a, x: a + x)
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(sums) - 1) / BLOCK).cast("int")), lambda g: F.aggregate(F.slice(sums, g * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, x: a + x))
+        earlier = lambda totals, g: F.aggregate(F.slice(totals, F.lit(1), g), F.lit(0), lambda a, x: a + x)
+        return let(groups, lambda totals: F.transform(sums, lambda _, b: inside(b) + earlier(totals, F.floor(b / BLOCK).cast("int"))))
+
+    def confirmed(found: Column, gaps: Column, lengths: Column, before: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            inside = (i % BLOCK).cast("int")
+            at = F.element_at(before, (F.floor(i / BLOCK) + 1).cast("int")) + total(F.slice(lengths, (i - inside + 1).cast("int"), inside)) + F.element_at(lengths, i + 1)["gap"]
+            ok = valid(kind, m)
+            if kind in SCORES:
+                prior, checksum, context = SCORES[kind]
+                near = F.right(F.element_at(gaps, i + 1), F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind])
+                score = F.lit(prior) + F.when(ok, checksum).otherwise(0.0) + F.when(near, context).otherwise(0.0)
+            else:
+                score = F.when(ok, 1.0).otherwise(0.0)
+            return let(at, lambda start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), ok.alias("ok"), score.cast("double").alias("score")))
+
+        return F.filter(F.transform(found, span), lambda s: s["ok"] & (s["score"] >= THRESHOLD))
+
+    matched = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: spans(found, gaps))).otherwise(empty))
+    return F.when(text.rlike(hint), matched).otherwise(empty)
 
 
 def find_spans(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
     """Adds spans_col: array<struct<kind, start, end, score>> by kind as listed, then start; code points, end exclusive."""
-    df = df.withColumn("_pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    for kind in KINDS:
-        df = placed(df, "_pii_text", kind)
-    named = lambda k: F.transform(f"_pii__{k}", lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
-    return df.withColumn(spans_col, F.concat(*map(named, KINDS))).drop("_pii_text", *(f"_pii__{k}" for k in KINDS))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = lambda k: F.transform(placed(text, k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+    return df.withColumn(spans_col, F.concat(*map(named, KINDS)))
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
