@@ -70,7 +70,7 @@ def guess_language(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     keys, votes = language_table()
     at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
     found = keys[at] == hashed
-    count = np.stack([np.bincount(owner[found], weights=votes[at[found], k], minlength=n) for k in range(LANGUAGES)], 1)
+    count = np.stack([np.bincount(owner[found], weights=votes[at[found], k], minlength=n) for k in range(LANGUAGES)], 1).astype(float)
     count[:, -1] = 0.5
     return count.argmax(1)
 
