@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders, runs of one type one
-placeholder; what stood there are the window's slots. Windows of ``WINDOW`` template words are hashed; those of the texts that
+Numbers, units after numbers, and names (words inside a sentence of which the first letter alone is a capital) become typed
+placeholders, runs of one type one placeholder; what stood there are the window's slots. Every text has a second template, in
+which names are ordinary words in lower case, so that a copy with other capitals is found as well. Windows of ``WINDOW`` template words are hashed; those of the texts that
 a bitmap of the benchmark's windows lets through are joined with the benchmark's on the hash. Of an occurrence (a text, an
 item and how their windows are aligned) each value of the item's slots must stand for one value in the text; if not, only
 windows without slots count. A text is contaminated by an item if ``LEAST_RUN`` words in a row are matched this way, or the whole
@@ -36,7 +37,7 @@ NUMBER, UNIT, NAME = 1, 2, 3
 PREFIX = {NUMBER: "number:", UNIT: "unit:", NAME: "name:"}
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?:\n"]] = True
-SCHEMA = "uid long, hash long, pos int, slots array<string>, n_windows int, template long"
+SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, template long"
 
 
 def unit_hashes() -> np.ndarray:
@@ -45,24 +46,32 @@ def unit_hashes() -> np.ndarray:
     return np.sort(hashes(sums(raw), start, end))
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text, hash, kind (0: literal), start and end of the template words of lined texts."""
+def words_and_kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, hash, kind (0: literal), start and end of the words of lined texts."""
     start, end = runs(ALNUM[data])
     owner = np.searchsorted(offsets, start, "right") - 1
-    hashed = hashes(sums(lower(data)), start, end)
+    small = lower(data)
+    hashed = hashes(sums(small), start, end)
     kind = np.zeros(len(start), np.int8)
     if not len(start):
         return owner, hashed, kind, start, end
     head = data[start]
-    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (data[np.minimum(start + 1, len(data) - 1)] <= 0x9E) & (data[np.minimum(start + 1, len(data) - 1)] >= 0x80))
+    capitals = np.concatenate(([0], np.cumsum(small != data)))
+    second = np.minimum(start + 1, len(data) - 1)
+    capital = (small[start] != head) | ((head == 0xC3) & (small[second] != data[second]))
     stops = np.concatenate(([0], np.cumsum(STOPS[data])))
     opens = np.ones(len(start), bool)
     opens[1:] = (stops[start[1:]] > stops[end[:-1]]) | (owner[1:] != owner[:-1])
-    kind[capital & ~opens] = NAME
+    kind[capital & ~opens & (capitals[end] - capitals[start] == 1)] = NAME
     kind[(head >= 48) & (head <= 57)] = NUMBER
     known = unit_hashes()
     is_unit = known[np.minimum(np.searchsorted(known, hashed), len(known) - 1)] == hashed
     kind[1:][is_unit[1:] & (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])] = UNIT
+    return owner, hashed, kind, start, end
+
+
+def template(owner: np.ndarray, hashed: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same of template words: placeholders in place of words that aren't literal, a run of one kind being one."""
     more = np.zeros(len(start), bool)  # goes on with the placeholder before
     more[1:] = (kind[1:] > 0) & (kind[1:] == kind[:-1]) & (owner[1:] == owner[:-1])
     first = np.flatnonzero(~more)
@@ -82,29 +91,35 @@ def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tup
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 part, off = lined(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                owner, hashed, kind, start, end = template(part, off)
-                if not len(owner):
+                found = words_and_kinds(part, off)
+                if not len(found[0]):
                     continue
-                count = np.bincount(owner, minlength=j - i)
-                first = np.concatenate(([0], np.cumsum(count)))
-                whole = hashes(sums(hashed), first[:-1], first[1:]).view(np.int64)
-                literal = np.concatenate(([0], np.cumsum(kind == 0)))
-                for size in sizes or range(SHORTEST, WINDOW + 1):
-                    at, value = windows(hashed, owner, size)
-                    value = mix(value + np.uint64(size))
-                    use = literal[at + size] - literal[at] >= (size + 1) // 2
-                    if bitmap is None:
-                        use &= (count[owner[at]] == size) | (size == WINDOW)
-                    else:
-                        bit = value >> np.uint64(64 - bits[0])
-                        use &= (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    at, value = at[use], value[use]
-                    if not len(at):
-                        continue
-                    own = owner[at]
-                    slots = [[PREFIX[int(kind[k])] + part[start[k] : end[k]].tobytes().decode(errors="replace").lower() for k in range(a, a + size) if kind[k]] if literal[a + size] - literal[a] < size else [] for a in at]
-                    n = np.maximum(count[own] - WINDOW + 1, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[i:j][own]), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(whole[own])], names=["uid", "hash", "pos", "slots", "n_windows", "template"])
+                plain = np.where(found[2] == NAME, 0, found[2]).astype(np.int8)
+                for form, kinds in enumerate((found[2], plain)):
+                    owner, hashed, kind, start, end = template(*found[:2], kinds, *found[3:])
+                    count = np.bincount(owner, minlength=j - i)
+                    first = np.concatenate(([0], np.cumsum(count)))
+                    whole = hashes(sums(hashed), first[:-1], first[1:]).view(np.int64)
+                    literal = np.concatenate(([0], np.cumsum(kind == 0)))
+                    for size in sizes or range(SHORTEST, WINDOW + 1):
+                        at, value = windows(hashed, owner, size)
+                        value = mix(value + np.uint64(2 * size + form))
+                        use = literal[at + size] - literal[at] >= (size + 1) // 2
+                        if bitmap is None:
+                            use &= (count[owner[at]] == size) | (size == WINDOW)
+                        else:
+                            bit = value >> np.uint64(64 - bits[0])
+                            use &= (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        at, value = at[use], value[use]
+                        if not len(at):
+                            continue
+                        own = owner[at]
+                        slots = [[PREFIX[int(kind[k])] + part[start[k] : end[k]].tobytes().decode(errors="replace").lower() for k in range(a, a + size) if kind[k]] if literal[a + size] - literal[a] < size else [] for a in at]
+                        n = np.maximum(count[own] - WINDOW + 1, 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(whole[own])],
+                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "template"],
+                        )
 
     return texts.select("uid", "text").mapInArrow(run, SCHEMA)
 
@@ -124,15 +139,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(uid, item_id, kind, n_matched, n_windows): the items that each of (uid, text) holds."""
     spark = docs.sparkSession
     items = checkpoint(template_windows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("uid"), "text")))
-    least = items.groupBy("template").agg(F.min("uid").alias("uid"))
-    items = items.join(least, ["template", "uid"], "left_semi").dropDuplicates(["uid", "pos", "hash"])
-    items = checkpoint(items.withColumn("size", F.when(F.col("n_windows") > 1, WINDOW)))
+    least = items.groupBy("form", "template").agg(F.min("uid").alias("uid"))
+    items = items.join(least, ["form", "template", "uid"], "left_semi").dropDuplicates(["uid", "form", "pos", "hash"])
+    items = checkpoint(items)
     short = [r[0] for r in items.filter("n_windows = 1").select(F.lit(1)).limit(1).collect()]
     sizes = list(range(SHORTEST, WINDOW + 1)) if short else [WINDOW]
     found = template_windows(docs, sizes, bitmap_of(items, items.count()))
-    of_item = items.select("hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows")
-    joined = found.select("uid", "hash", "pos", "slots").join(of_item, "hash").filter(F.size("slots") == F.size("_slots"))
-    key = ["uid", "item_id", "_shift"]
+    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows")
+    joined = found.select("uid", "form", "hash", "pos", "slots").join(of_item, ["hash", "form"]).filter(F.size("slots") == F.size("_slots"))
+    key = ["uid", "item_id", "form", "_shift"]
     joined = joined.withColumn("_shift", F.col("pos") - F.col("_pos"))
     # of each window of an occurrence once; its slots as pairs (of the item, of the text)
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
@@ -142,9 +157,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows_of = once.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.size("pairs") == 0).alias("n_literal"), F.max("n_windows").alias("n_windows"))
     occurrences = windows_of.join(judged, key, "left")
     valid = F.when(F.coalesce("conflict", F.lit(0)) == 1, F.col("n_literal")).otherwise(F.col("n_all"))
-    total = occurrences.groupBy("uid", "item_id").agg(F.sum(valid).alias("n"), F.max("n_windows").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
-    enough = F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows"))
-    return total.filter(enough).select("uid", "item_id", F.when(F.col("changed") == 1, "reparameterised").otherwise("verbatim").alias("kind"), F.least("n", F.col("n_windows").cast("long")).alias("n_matched"), "n_windows")
+    total = occurrences.groupBy("uid", "item_id", "form").agg(F.sum(valid).alias("n"), F.max("n_windows").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
+    enough = total.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows")))
+    # of an item's two templates the one without a change, else with more windows, speaks for it
+    best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.least("n", F.col("n_windows").cast("long"))).alias("less"), "n_windows")).alias("best"))
+    return best.select("uid", "item_id", F.when(F.col("best.changed") == 1, "reparameterised").otherwise("verbatim").alias("kind"), (-F.col("best.less")).alias("n_matched"), "best.n_windows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
