@@ -108,3 +108,32 @@ def repetition(df: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+def _oracle() -> str:
+    """SQL for another engine: words with their places and lengths, then repeats of windows and lines by place."""
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS size, pos, list_aggregate(list(word) OVER w, 'string_agg', ' ') AS gram, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in sorted({BASE_WINDOW, *NGRAM_LIMITS})
+    )
+    limits = ", ".join(f"({n}, {limit})" for n, limit in NGRAM_LIMITS.items())
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM split),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY nth) > 1 AS again, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+by_line AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS dup_chars FROM lines GROUP BY 1),
+grams AS (SELECT doc_id, size, pos, row_number() OVER (PARTITION BY doc_id, size, gram ORDER BY pos) > 1 AS again, count(*) OVER (PARTITION BY doc_id, size, gram) > 1 AS twice FROM ({grams}) WHERE n = size),
+covered AS (SELECT DISTINCT doc_id, size, twice_only, pos + i AS pos FROM (
+  SELECT doc_id, size, pos, true AS twice_only, unnest(range(size)) AS i FROM grams WHERE twice AND size = {BASE_WINDOW} UNION ALL SELECT doc_id, size, pos, false, unnest(range(size)) FROM grams WHERE again)),
+inside AS (SELECT doc_id, size, twice_only, count(*) AS n, sum(length(word)) AS chars FROM covered JOIN words USING (doc_id, pos) GROUP BY ALL),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce((SELECT n FROM inside i WHERE i.doc_id = split.doc_id AND twice_only), 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars FROM split LEFT JOIN by_line USING (doc_id)),
+too_many AS (SELECT DISTINCT i.doc_id FROM inside i JOIN (VALUES {limits}) AS l(size, share) USING (size) JOIN m ON m.doc_id = i.doc_id WHERE NOT twice_only AND i.chars > share * word_chars),
+v AS (SELECT *, n_words < {BASE_LEAST_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_dup_lines <= {LINE_LIMIT} * n_lines AND dup_chars <= {LINE_CHAR_LIMIT} * word_chars AND doc_id NOT IN (SELECT doc_id FROM too_many) AS kept FROM v
+"""
+
+
+ORACLE = _oracle()

@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op3_chat": chat.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op6_quality": quality.ORACLE,
 }
