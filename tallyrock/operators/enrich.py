@@ -21,7 +21,7 @@ def companies(raw: DataFrame) -> DataFrame:
     return last.select("key", "last.*")
 
 
-def jobs(listings: DataFrame, catalog: DataFrame, gazetteer: places.Gazetteer | None, now: str, vocabulary: Vocabulary | None = None) -> DataFrame:
+def jobs(listings: DataFrame, catalog: DataFrame, gazetteer: places.Gazetteer | None, now: str, vocabulary: Vocabulary | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """Listings with host, cif_key, co (the catalog's company or null), loc, age and normalised title.
 
     Both joins are on keys; Spark sends the smaller side to all tasks where it is small, and shuffles otherwise.
@@ -32,7 +32,7 @@ def jobs(listings: DataFrame, catalog: DataFrame, gazetteer: places.Gazetteer |
     rows = rows.join(co, F.nullif("cif_key", F.lit("")) == F.col("_key"), "left").drop("_key")
     if gazetteer is None:
         return rows.withColumn("loc", F.lit(None).cast("struct<kind:string,value:string,how:string,county:string>"))
-    found = places.resolve(rows.select(F.col("raw_place").alias("raw")), gazetteer, vocabulary)
+    found = places.resolve(rows.select(F.col("raw_place").alias("raw")), gazetteer, vocabulary, held)
     loc = found.select(F.col("raw").alias("_raw"), F.struct("kind", "value", "how", "county").alias("loc"))
     return rows.join(loc, F.col("raw_place") == F.col("_raw"), "left").drop("_raw")
 

@@ -215,17 +215,27 @@ def of_the_rest(texts: DataFrame, parts: DataFrame, vocabulary: Vocabulary) -> D
     return texts.select("raw").join(found, "raw", "left").select("raw", F.lit(STAGES.index("rest")).alias("stage"), kind.alias("kind"), F.when(~none & unknown, part).alias("value"), how.alias("how"))
 
 
-def resolve(texts: DataFrame, g: Gazetteer, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(raw, kind, value, how, county) of the different texts in the column raw."""
+def resolve(texts: DataFrame, g: Gazetteer, vocabulary: Vocabulary | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """(raw, kind, value, how, county) of the different texts in the column raw.
+
+    All stages read the different texts and their parts, which are few beside the rows; with a list in held these are persisted
+    and appended to it, for the caller to give back.
+    """
+
+    def hold(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df := df.persist())
+        return df
+
     vocabulary = vocabulary or Vocabulary()
-    texts = texts.select(F.coalesce("raw", F.lit("")).alias("raw")).distinct()
+    texts = hold(texts.select(F.coalesce("raw", F.lit("")).alias("raw")).distinct())
     folded = F.lower(X.ascii_folded("raw"))
     sector = folded.contains("sector") & (folded.contains("bucure") | X.trimmed(folded).rlike(r"^sector\s*[0-9]"))
     blank = texts.filter(X.is_blank("raw")).select("raw", F.lit(0).alias("stage"), F.lit("junk").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit("empty").alias("how"))
     capital = texts.filter(~X.is_blank("raw") & sector).select("raw", F.lit(1).alias("stage"), F.lit("fixed").alias("kind"), F.lit(CAPITAL).alias("value"), F.lit("sector to Bucuresti").alias("how"))
     open_texts = texts.filter(~X.is_blank("raw") & ~sector)
-    parts = parts_of(open_texts, vocabulary)
-    named = by_name(parts, g)
+    parts = hold(parts_of(open_texts, vocabulary))
+    named = hold(by_name(parts, g))
     left = open_texts.join(named.select("raw"), "raw", "left_anti")
     rest = parts.join(named.select("raw"), "raw", "left_anti")
     junk, foreign = F.col("key").isin(*vocabulary.junk), F.col("key").isin(*vocabulary.foreign)

@@ -13,11 +13,12 @@ TTL_DAYS = 60
 
 @dataclass(frozen=True)
 class Marked:
-    """jobs with first_seen, is_new and days_here; the state after the run; a row of flow counts."""
+    """jobs with first_seen, is_new and days_here; the state after the run; a row of flow counts; the day that tracking began."""
 
     jobs: DataFrame
     state: DataFrame
     flow: DataFrame
+    since: DataFrame
 
 
 def baseline_day(state: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def mark(jobs: DataFrame, state: DataFrame, today: str, baseline: bool | None =
     fresh = marked.agg(F.count_if("is_new").alias("fresh"))
     # one row each
     flow = began.join(gone).join(tracked).join(fresh).select(F.lit(first_run).alias("baseline"), "since", day.alias("today"), "fresh", "gone", "tracked")
-    return Marked(marked, kept, flow)
+    return Marked(marked, kept, flow, began)
 
 
 def gone(state: DataFrame, jobs: DataFrame) -> DataFrame:

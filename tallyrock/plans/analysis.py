@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +16,33 @@ from ..sources import store
 from . import trend as T
 
 
-@dataclass(frozen=True)
+@dataclass
 class Result:
     rows: DataFrame
     catalog: DataFrame
-    state: DataFrame
-    flow: dict
+    marked: state.Marked
     links: DataFrame
     now: str
     today: str
+    held: list[DataFrame]
 
     def context(self) -> filters.Context:
         return filters.Context(self.today, self.since)
 
-    @property
+    @cached_property
+    def flow(self) -> dict:
+        return self.marked.flow.first().asDict()
+
+    @cached_property
     def since(self) -> str | None:
-        return str(self.flow["since"]) if self.flow.get("since") else None
+        found = self.marked.since.first()[0]
+        return str(found) if found else None
+
+    def close(self) -> None:
+        """Gives back what is held in memory."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
 
     def jobs(self, page=None, size=None, **by) -> dict:
         """The drill-down."""
@@ -42,10 +54,11 @@ def analyse(
     fetch: Callable | None = None, log: Callable[[str, dict], None] = lambda step, info: None, persist: bool = True,
 ) -> Result:
     """Rows with issues and what they are counted with. Links come from responses (url, link_code, link_reason), from a fetch of a
-    sample, or from the previous rows. The rows are persisted, since every aggregate reads them, unless told otherwise; unpersist them when done."""
+    sample, or from the previous rows. The rows are persisted, since every aggregate reads them, unless told otherwise; close() the result when done."""
     today = now[:10]
     catalog = enrich.companies(companies)
-    rows = enrich.jobs(listings, catalog, gazetteer, now, vocabulary)
+    held: list[DataFrame] = []
+    rows = enrich.jobs(listings, catalog, gazetteer, now, vocabulary, held)
     log("enriched", {})
     marked = state.mark(rows, before, today)
     rows = marked.jobs
@@ -58,9 +71,10 @@ def analyse(
     else:
         rows = rows.withColumn("link", F.lit("")).withColumn("link_code", F.lit(None).cast("int")).withColumn("link_reason", F.lit(""))
     rows = checks.with_issues(dedupe.repeated(rows), now)
-    rows = rows.persist() if persist else rows
+    if persist:
+        held.append(rows := rows.persist())
     log("checked", {})
-    return Result(rows, catalog, marked.state, marked.flow.first().asDict(), probe.per_host(rows), now, today)
+    return Result(rows, catalog, marked, probe.per_host(rows), now, today, held)
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -114,9 +128,9 @@ def run(spark: SparkSession, root: str, listings: DataFrame, companies: DataFram
     found["trend"] = next(iter(_rows(T.trend(history, result.today))), None)
     found["recent_runs"] = _rows(T.recent_runs(history))
     store.write_rows(enrich.compact(result.rows), f"{root}/rows", "parquet")
-    store.save_state(result.state, f"{root}/state")
+    store.save_state(result.marked.state, f"{root}/state")
     store.write_summary(spark, found, f"{root}/summary")
-    result.rows.unpersist()
+    result.close()
     return found
 
 

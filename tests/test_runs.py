@@ -96,7 +96,7 @@ def test_runs_and_service(spark, rows, tmp_path):
     root = str(tmp_path / "runs")
     service = api.Api(spark, root)
     assert service.jobs()[0] == 503 and service.get("POST", "/api/run", {})[0] == 405 and service.get("GET", "/x", {})[0] == 404
-    for now in ("2026-08-28T12:00:00Z", "2026-09-05T12:00:00Z", "2026-09-05T18:00:00Z"):
+    for now in ("2026-08-28T12:00:00Z", "2026-09-05T18:00:00Z"):
         found = analysis.run(spark, root, rows, companies(spark), gazetteer(spark), now)
     assert found["trend"]["days"] == 8 and len(found["recent_runs"]) == 2
     status, body = service.get("GET", "/api/jobs", {"size": "2", "host": "s0.ro"})
@@ -115,6 +115,15 @@ def test_rows_store_skips_bad_lines(spark, tmp_path):
     assert store.scan_rows(spark, root, df.schema, limit=2).count() == 2
 
 
+def test_history_by_day(spark, tmp_path):
+    path = str(tmp_path / "history")
+    assert store.load_history(spark, path).count() == 0
+    for run_at, day in (("a", "2024-01-01"), ("b", "2024-01-02"), ("c", "2024-01-02")):
+        one = spark.createDataFrame([(run_at, (1, 1, 1, 0, 0), None, [], [], None)], store.HISTORY).withColumn("day", F.to_date(F.lit(day)))
+        store.upsert_history(one, path)
+    assert sorted(r.run_at for r in store.load_history(spark, path).collect()) == ["a", "c"]
+
+
 def test_trend(spark):
     days = spark.createDataFrame([(d, (i, 1, 1, 1, 1), [], []) for i, d in enumerate(["2024-01-01", "2024-01-04", "2024-01-08", "2024-01-09"])], "d string, totals struct<jobs:bigint,companies:bigint,trusted:bigint,affected:bigint,format:bigint>, questions array<struct<id:string,affected:bigint>>, sources array<int>").withColumn("day", F.to_date("d"))
     at = lambda today: [(str(r.since), r.days) for r in trend.trend(days, today).collect()]
