@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from .common import WHITE, by_key, chunks, hashes, lined, mix, runs, sums, table, utf8, windows
 
-#: Largest share of a text's word characters inside n-grams that repeat an earlier n-gram of the text.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of lines that equal an earlier line, and of word characters on them.
-LINE_LIMIT, LINE_CHAR_LIMIT = 0.30, 0.20
+#: Largest share of a text's word characters inside n-grams that repeat an earlier n-gram of the text. They leave room for one
+#: line that opens and closes a short text.
+NGRAM_LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
+#: Largest share of lines that equal an earlier line, and of word characters on them; one such line is no repetition yet.
+LINE_LIMIT, LINE_CHAR_LIMIT, LEAST_LINES = 0.30, 0.20, 2
 BASE_WINDOW, BASE_LEAST_WORDS, BASE_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -81,7 +82,8 @@ def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
 def verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Whether the base rule fails, and whether the text is kept."""
     failed = (m["n_words"] < BASE_LEAST_WORDS) | (100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * m["n_words"])
-    kept = ~failed & (m["n_dup_lines"] <= LINE_LIMIT * m["n_lines"]) & (m["dup_line_chars"] <= LINE_CHAR_LIMIT * m["word_chars"])
+    few = (m["n_dup_lines"] <= LINE_LIMIT * m["n_lines"]) & (m["dup_line_chars"] <= LINE_CHAR_LIMIT * m["word_chars"])
+    kept = ~failed & (few | (m["n_dup_lines"] < LEAST_LINES))
     for size, limit in NGRAM_LIMITS.items():
         kept &= m[f"dup_chars_{size}"] <= limit * m["word_chars"]
     return failed, kept
@@ -132,7 +134,7 @@ m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]
 too_many AS (SELECT DISTINCT i.doc_id FROM inside i JOIN (VALUES {limits}) AS l(size, share) USING (size) JOIN m ON m.doc_id = i.doc_id WHERE NOT twice_only AND i.chars > share * word_chars),
 v AS (SELECT *, n_words < {BASE_LEAST_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_dup_lines <= {LINE_LIMIT} * n_lines AND dup_chars <= {LINE_CHAR_LIMIT} * word_chars AND doc_id NOT IN (SELECT doc_id FROM too_many) AS kept FROM v
+  NOT base_failed AND (n_dup_lines < {LEAST_LINES} OR n_dup_lines <= {LINE_LIMIT} * n_lines AND dup_chars <= {LINE_CHAR_LIMIT} * word_chars) AND doc_id NOT IN (SELECT doc_id FROM too_many) AS kept FROM v
 """
 
 

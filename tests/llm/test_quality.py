@@ -32,7 +32,7 @@ def brute(text):
 
     repeat = len(cover(8, True))
     failed = len(w) < 20 or 100 * repeat > 30 * len(w)
-    kept = not failed and dup_lines <= 0.30 * lines and dup_line_chars <= 0.20 * chars and all(sum(len(w[i]) for i in cover(n, False)) <= limit * chars for n, limit in quality.NGRAM_LIMITS.items())
+    kept = not failed and (dup_lines < 2 or dup_lines <= 0.30 * lines and dup_line_chars <= 0.20 * chars) and all(sum(len(w[i]) for i in cover(n, False)) <= limit * chars for n, limit in quality.NGRAM_LIMITS.items())
     return len(w), chars, len(re.findall(r"[#*$%&|<>]", text)), dup_lines, repeat, failed, kept
 
 
