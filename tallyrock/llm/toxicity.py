@@ -49,9 +49,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([hashed, *(mix(hashes(prefix, start, np.minimum(start + n, end)) + np.uint64(n)) for n in BEGINNINGS)]), owner
 
 
-def hashed_words(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[str] | pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """features() of texts by chunks: first text, end, hashes, and the text of each word within the chunk."""
-    data, offsets = utf8(pa.array(texts, pa.string()))
+    data, offsets = utf8(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
     for i, j in chunks(offsets):
         yield i, j, *features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
@@ -80,7 +80,7 @@ def padded(hashed: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
     pad = max(WIDTHS)
     counts = np.bincount(owner, minlength=n)
     starts = np.concatenate(([0], np.cumsum(counts + pad)))
-    ids = np.zeros((len(hashed), starts[-1]), np.int32)
+    ids = np.zeros((len(hashed), starts[-1]), np.uint16)
     ids[:, np.arange(len(owner)) + owner * pad] = 1 + (hashed >> np.uint64(20)) % np.uint64(BUCKETS - 1)
     return ids, starts
 
@@ -113,23 +113,23 @@ class Classifier:
                 places.append(np.minimum.reduceat(rows, starts[:-1]))
         return np.concatenate(high, 1), np.concatenate(places, 1) if where else None
 
-    def logits(self, hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        ids, starts = padded(hashed, owner, n)
-        out = np.zeros(n)
+    def logits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts) - 1)
         for i, j in chunks(starts, WORDS_AT_ONCE):
             high, _ = self.pooled(ids[:, starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             out[i:j] = np.tanh(high) @ self.out + self.bias[0]
         return out
 
-    def fit(self, texts: list[str], labels: np.ndarray) -> None:
+    def fit(self, texts: list[str] | pa.Array, labels: np.ndarray) -> None:
         self.prior = float(labels.mean()) if len(labels) else 0.0
         if len(set(labels.tolist())) < 2 or len(labels) < 2 * CALIBRATE:
             return
         rng = np.random.default_rng(SEED)
-        parts = [padded(hashed, owner, j - i) for i, j, hashed, owner in hashed_words(texts)]
-        ids, starts = np.concatenate([x for x, _ in parts], 1), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))))
-        del parts
-        kept = np.arange(len(texts)) % CALIBRATE != 0
+        parts = [(*padded(hashed, owner, j - i), guess_language(hashed[0], owner, j - i)) for i, j, hashed, owner in hashed_words(texts)]
+        ids, guess = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[2] for p in parts])
+        starts = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
+        del parts, texts
+        kept = np.arange(len(labels)) % CALIBRATE != 0
         if len(set(labels[kept].tolist())) < 2 or len(set(labels[~kept].tolist())) < 2:
             kept[:] = True
         learn = np.flatnonzero(kept)
@@ -152,7 +152,8 @@ class Classifier:
                 square[k] += 0.01 * (g * g - square[k])
                 params[k] -= RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
         self.fitted = True
-        self.calibrate(texts, labels, np.flatnonzero(~kept) if (~kept).any() else learn)
+        rows = np.flatnonzero(~kept) if (~kept).any() else learn
+        self.calibrate(self.logits(ids, starts)[rows], labels[rows], guess[rows])
 
     def start_words(self, ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, learn: np.ndarray) -> None:
         """The first dimension starts as the log odds of label 1 among the training texts that have a word of the bucket."""
@@ -188,10 +189,8 @@ class Classifier:
         grads["words"] = (found, total)
         return grads
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, rows: np.ndarray) -> None:
+    def calibrate(self, z: np.ndarray, y: np.ndarray, guess: np.ndarray) -> None:
         """For each guessed language the threshold with the fewest errors, drawn to that of all rows where rows are few."""
-        found = [(self.logits(hashed, owner, j - i), guess_language(hashed[0], owner, j - i)) for i, j, hashed, owner in hashed_words([texts[i] for i in rows])]
-        z, guess, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), labels[rows]
         whole = best_threshold(z, y)
         self.scale = max(0.25, float(np.std(z)) / 2)
         for k in range(LANGUAGES):
@@ -205,7 +204,7 @@ class Classifier:
         if not self.fitted:
             return np.full(n, self.prior)
         hashed, owner = features(data, offsets)
-        z = self.logits(hashed, owner, n) - self.threshold[guess_language(hashed[0], owner, n)]
+        z = self.logits(*padded(hashed, owner, n)) - self.threshold[guess_language(hashed[0], owner, n)]
         return 1 / (1 + np.exp(-np.clip(z / self.scale, -30, 30)))
 
 
@@ -226,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
     model = Classifier()
-    model.fit(["" if t is None else t for t in found["text"].to_pylist()], np.array(found["toxic"].to_pylist(), np.int64))
+    model.fit(found["text"].combine_chunks(), found["toxic"].to_numpy().astype(np.int64))
     return model
 
 
