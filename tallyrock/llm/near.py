@@ -348,3 +348,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_uid(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return docs.select("uid", "doc_id").join(near_classes(docs.select("uid", "text")), "uid").select("doc_id", "class_id", "n_links")
+
+
+#: All pairs by common shingles, and components by reach.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+r(node, class) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.class FROM r JOIN e ON r.node = e.x),
+links AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
+SELECT doc_id, class_id, coalesce(links.n, 0) AS n_links FROM (SELECT node AS doc_id, min(class) AS class_id FROM r GROUP BY 1) LEFT JOIN links ON x = doc_id
+"""

@@ -20,4 +20,6 @@ ORACLES = {
     "op3_chat": chat.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_quality": quality.ORACLE,
+    "op7_suffixes": suffixes.ORACLE,
+    "op10_near": near.ORACLE,
 }

@@ -290,3 +290,18 @@ def deduplicated(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_uid(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return deduplicated(docs, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as hexadecimal texts, ranked among equal ones; repeats that lie at most LENGTH apart make a run.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+lists AS (SELECT doc_id, [substr(h, 2 * i + 1, {2 * LENGTH}) FOR i IN range(greatest(n - {LENGTH - 1}, 0))] AS w FROM d),
+wins AS (SELECT doc_id, unnest(w) AS s, generate_subscripts(w, 1) - 1 AS i FROM lists),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM wins) WHERE nth > 1),
+steps AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true) AS fresh FROM rep),
+runs AS (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k, sum(b - a) AS removed, count(*) AS n_spans FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
