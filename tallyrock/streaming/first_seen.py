@@ -26,10 +26,13 @@ def daily_counts(stream: DataFrame, time: str, delay: str = "1 day") -> DataFram
 
 
 class Tracker(StatefulProcessor):
-    """Keeps, for each key, the time it was first seen; emits a row when that happens. Forgets keys not seen for the TTL."""
+    """Keeps, for each key, the time it was first seen; emits a row when that happens. Forgets keys not seen for so many days, if given."""
+
+    def __init__(self, days: int | None):
+        self.ttl = [int(timedelta(days=days).total_seconds() * 1000)] if days else []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "first timestamp", int(timedelta(days=S.TTL_DAYS).total_seconds() * 1000))
+        self.first = handle.getValueState("first", "first timestamp", *self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         earliest = min(f["ts"].min() for f in rows)
@@ -43,10 +46,13 @@ class Tracker(StatefulProcessor):
         pass
 
 
-def tracked(stream: DataFrame, key: str, time: str) -> DataFrame:
-    """(key, first_seen) when a key is first seen, with a state whose TTL each sighting renews. Needs the RocksDB state store."""
+def tracked(stream: DataFrame, key: str, time: str, forget_after: int | None = S.TTL_DAYS) -> DataFrame:
+    """(key, first_seen) when a key is first seen, with a state whose TTL in days each sighting renews. Needs the RocksDB state store.
+
+    A TTL goes by processing time, for which Spark plans batches without end; give None for queries that stop when all is read.
+    """
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).alias("ts"))
-    return rows.groupBy("key").transformWithStateInPandas(Tracker(), "key string, first_seen timestamp", "Append", "ProcessingTime")
+    return rows.groupBy("key").transformWithStateInPandas(Tracker(forget_after), "key string, first_seen timestamp", "Append", "ProcessingTime" if forget_after else "None")
 
 
 def run_daily(stream: DataFrame, root: str, checkpoint: str, today: Callable[[], str], on_batch: Callable[[dict], None] = lambda flow: None) -> StreamingQuery:

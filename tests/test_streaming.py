@@ -32,6 +32,11 @@ def test_daily_counts(spark, tmp_path):
     assert got["2024-01-01"] == 2
 
 
+def test_tracked(spark, tmp_path):
+    s = source(spark, tmp_path, [("a", T[1], "x"), ("a", T[0], "x"), ("b", T[2], "x")])
+    assert {(r.key, r.first_seen) for r in run(first_seen.tracked(s, "url", "ts", None), "tracked")} == {("a", T[0]), ("b", T[2])}
+
+
 def test_run_daily(spark, tmp_path):
     s = source(spark, tmp_path, [("a", T[0], "x"), ("b", T[1], "x")])
     flows, root = [], str(tmp_path / "state")
