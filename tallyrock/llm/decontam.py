@@ -9,7 +9,8 @@ windows without slots count. A text is contaminated by an item if ``LEAST_RUN``
 of a shorter item. A question with other numbers or names is so found as ``reparameterised``, one with the same as ``verbatim``.
 
 Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` template words, windows with fewer literal
-words than half, or texts with a null id in the benchmark; items with equal templates count as the smallest item_id of them;
+words than half, or texts with a null id in the benchmark; items with equal templates and slots count as the smallest item_id of
+them, and items that share a template only are judged each by its own slots;
 equal rows are judged alike, each by itself; empty tables give an empty result; other columns are ignored or passed on.
 
 The bitmap has at most 2**BITS bits, however large the benchmark is; the join decides. A passage that a third of the texts
@@ -37,7 +38,7 @@ NUMBER, UNIT, NAME = 1, 2, 3
 PREFIX = {NUMBER: "number:", UNIT: "unit:", NAME: "name:"}
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?:\n"]] = True
-SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, template long"
+SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, content long"
 
 
 def unit_hashes() -> np.ndarray:
@@ -92,6 +93,7 @@ def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tup
             for i, j in chunks(offsets):
                 part, off = lined(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = words_and_kinds(part, off)
+                letters = sums(lower(part)) if bitmap is None else None
                 if not len(found[0]):
                     continue
                 plain = np.where(found[2] == NAME, 0, found[2]).astype(np.int8)
@@ -99,7 +101,9 @@ def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tup
                     owner, hashed, kind, start, end = template(*found[:2], kinds, *found[3:])
                     count = np.bincount(owner, minlength=j - i)
                     first = np.concatenate(([0], np.cumsum(count)))
-                    whole = hashes(sums(hashed), first[:-1], first[1:]).view(np.int64)
+                    content = np.zeros(j - i, np.int64)
+                    if bitmap is None:  # the template with what stands in its slots
+                        content = hashes(sums(np.where(kind > 0, mix(hashed ^ hashes(letters, start, end)), hashed)), first[:-1], first[1:]).view(np.int64)
                     literal = np.concatenate(([0], np.cumsum(kind == 0)))
                     for size in sizes or range(SHORTEST, WINDOW + 1):
                         at, value = windows(hashed, owner, size)
@@ -117,8 +121,8 @@ def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tup
                         slots = [[PREFIX[int(kind[k])] + part[start[k] : end[k]].tobytes().decode(errors="replace").lower() for k in range(a, a + size) if kind[k]] if literal[a + size] - literal[a] < size else [] for a in at]
                         n = np.maximum(count[own] - WINDOW + 1, 1)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(whole[own])],
-                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "template"],
+                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(content[own])],
+                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "content"],
                         )
 
     return texts.select("uid", "text").mapInArrow(run, SCHEMA)
@@ -139,15 +143,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(uid, item_id, kind, n_matched, n_windows): the items that each of (uid, text) holds."""
     spark = docs.sparkSession
     items = checkpoint(template_windows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("uid"), "text")))
-    least = items.groupBy("form", "template").agg(F.min("uid").alias("uid"))
-    items = items.join(least, ["form", "template", "uid"], "left_semi").dropDuplicates(["uid", "form", "pos", "hash"])
+    least = items.groupBy("form", "content").agg(F.min("uid").alias("uid"))
+    items = items.join(least, ["form", "content", "uid"], "left_semi").dropDuplicates(["uid", "form", "content", "pos"])
     items = checkpoint(items)
     short = [r[0] for r in items.filter("n_windows = 1").select(F.lit(1)).limit(1).collect()]
     sizes = list(range(SHORTEST, WINDOW + 1)) if short else [WINDOW]
     found = template_windows(docs, sizes, bitmap_of(items, items.count()))
-    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows")
+    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows", "content")
     joined = found.select("uid", "form", "hash", "pos", "slots").join(of_item, ["hash", "form"]).filter(F.size("slots") == F.size("_slots"))
-    key = ["uid", "item_id", "form", "_shift"]
+    key = ["uid", "item_id", "form", "content", "_shift"]
     joined = joined.withColumn("_shift", F.col("pos") - F.col("_pos"))
     # of each window of an occurrence once; its slots as pairs (of the item, of the text)
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
@@ -157,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows_of = once.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.size("pairs") == 0).alias("n_literal"), F.max("n_windows").alias("n_windows"))
     occurrences = windows_of.join(judged, key, "left")
     valid = F.when(F.coalesce("conflict", F.lit(0)) == 1, F.col("n_literal")).otherwise(F.col("n_all"))
-    total = occurrences.groupBy("uid", "item_id", "form").agg(F.sum(valid).alias("n"), F.max("n_windows").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
+    total = occurrences.groupBy("uid", "item_id", "form", "content").agg(F.sum(valid).alias("n"), F.max("n_windows").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
     enough = total.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows")))
     # of an item's two templates the one without a change, else with more windows, speaks for it
     best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.least("n", F.col("n_windows").cast("long"))).alias("less"), "n_windows")).alias("best"))

@@ -50,3 +50,18 @@ def test_rows_that_stay(spark):
 def test_query(spark, tmp_path):
     d = write(spark, tmp_path, documents=docs(spark, [*DOCS, (70, "a " + FOX), (70, "b " + FOX)], clashes=True), benchmark=benchmark(spark))
     assert [(r.doc_id, r.item_id) for r in decontam.op2_decontam(spark, d).collect()] == [(70, 5), (70, 5)]
+
+
+def pairs(spark, items, texts):
+    """(text, item) -> (kind, n_matched, n_windows)"""
+    d = with_uid(docs(spark, list(enumerate(texts))), "doc_id", "text")
+    rows = decontam.matches(d.select("uid", "text"), benchmark(spark, items)).collect()
+    assert len({(r.uid, r.item_id) for r in rows}) == len(rows)
+    return {(r.uid, r.item_id): (r["kind"], r.n_matched, r.n_windows) for r in rows}
+
+
+def test_items_of_one_template_are_judged_each_by_its_own_slots(spark):
+    other = ADD.replace("gives Ben 4", "gives Ben 3")  # 3 stands for two values in ADD then
+    got = pairs(spark, [(3, other), (7, ADD), (8, ADD), (9, TRAIN), (9, TRAIN.replace("120", "90"))], ["So. " + ADD, "So. " + other, TRAIN.replace("120", "90")])
+    assert {k: v[0] for k, v in got.items()} == {(0, 7): "verbatim", (1, 3): "verbatim", (1, 7): "reparameterised", (2, 9): "verbatim"}
+    assert all(n <= of for _, n, of in got.values())
