@@ -4,9 +4,9 @@ Numbers, units after numbers, and names (words inside a sentence of which the fi
 placeholders, runs of one type one placeholder; what stood there are the window's slots. Every text has a second template, in
 which names are ordinary words in lower case, so that a copy with other capitals is found as well. Windows of ``WINDOW`` template words are hashed; those of the texts that
 a bitmap of the benchmark's windows lets through are joined with the benchmark's on the hash. Of an occurrence (a text, an
-item and how their windows are aligned) each value of the item's slots must stand for one value in the text; if not, only
-windows without slots count. A text is contaminated by an item if ``LEAST_RUN`` words in a row are matched this way, or the whole
-of a shorter item. A question with other numbers or names is so found as ``reparameterised``, one with the same as ``verbatim``.
+item and how their windows are aligned) matched words in a row make a run, within which each value of the item's slots must stand
+for one value in the text; if not, only runs of windows without slots count. A text is contaminated by an item if one run has
+``LEAST_RUN`` words, or the whole of a shorter item; runs are never added up. A question with other numbers or names is so found as ``reparameterised``, one with the same as ``verbatim``.
 
 Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` template words, windows with fewer literal
 words than half, or texts with a null id in the benchmark; items with equal templates and slots count as the smallest item_id of
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ALNUM, as_rows, checkpoint, chunks, hashes, lined, lower, mix, runs, sums, table, utf8, windows, with_uid
 
@@ -35,6 +36,8 @@ UNITS = (
     "kmh mph hz khz mhz ghz kb mb gb tb w kw mw v volt volts amp amps j kj cal kcal k people items apples pieces times"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
+#: The sets of an occurrence's windows in which runs are sought.
+ALL, SLOTLESS = 0, 1
 PREFIX = {NUMBER: "number:", UNIT: "unit:", NAME: "name:"}
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?:\n"]] = True
@@ -153,18 +156,25 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = found.select("uid", "form", "hash", "pos", "slots").join(of_item, ["hash", "form"]).filter(F.size("slots") == F.size("_slots"))
     key = ["uid", "item_id", "form", "content", "_shift"]
     joined = joined.withColumn("_shift", F.col("pos") - F.col("_pos"))
-    # of each window of an occurrence once; its slots as pairs (of the item, of the text)
+    # of each window of an occurrence once, and again among those without slots; its slots as pairs (of the item, of the text)
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
-    once = joined.select(*key, "_pos", "n_windows", pairs.alias("pairs"))
-    slots = once.filter(F.size("pairs") > 0).select(*key, F.explode("pairs").alias("p")).groupBy(*key, F.col("p.a").alias("a")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
-    judged = slots.groupBy(*key).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("conflict"), F.max(((F.col("low") != F.col("a")) | (F.col("high") != F.col("a"))).cast("int")).alias("changed"))
-    windows_of = once.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.size("pairs") == 0).alias("n_literal"), F.max("n_windows").alias("n_windows"))
-    occurrences = windows_of.join(judged, key, "left")
-    valid = F.when(F.coalesce("conflict", F.lit(0)) == 1, F.col("n_literal")).otherwise(F.col("n_all"))
-    total = occurrences.groupBy("uid", "item_id", "form", "content").agg(F.sum(valid).alias("n"), F.max("n_windows").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
-    enough = total.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows")))
+    sets = F.when(F.size("pairs") == 0, F.array(F.lit(ALL), F.lit(SLOTLESS))).otherwise(F.array(F.lit(ALL)))
+    once = joined.select(*key, "_pos", "n_windows", pairs.alias("pairs")).withColumn("_set", F.explode(sets))
+    # windows at most WINDOW apart touch, so that their words are in a row
+    in_set = Window.partitionBy(*key, "_set").orderBy("_pos")
+    gap = F.col("_pos") - F.lag("_pos").over(in_set) > WINDOW
+    once = once.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    once = checkpoint(once.withColumn("_run", F.sum("_gap").over(in_set)).drop("_gap"))
+    run = [*key, "_set", "_run"]
+    slots = once.filter(F.size("pairs") > 0).select(*run, F.explode("pairs").alias("p")).groupBy(*run, F.col("p.a").alias("a")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
+    judged = slots.groupBy(*run).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("conflict"), F.max(((F.col("low") != F.col("a")) | (F.col("high") != F.col("a"))).cast("int")).alias("changed"))
+    lengths = once.groupBy(*run).agg((F.max("_pos") - F.min("_pos") + 1).cast("long").alias("n"), F.max("n_windows").alias("n_windows"))
+    consistent = lengths.join(judged, run, "left").filter(F.coalesce("conflict", F.lit(0)) == 0)
+    # a run without slots speaks for an item only where the slots around it conflict
+    changed = F.when(F.col("_set") == SLOTLESS, 1).otherwise(F.coalesce("changed", F.lit(0)))
+    enough = consistent.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows"))).withColumn("changed", changed)
     # of an item's two templates the one without a change, else with more windows, speaks for it
-    best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.least("n", F.col("n_windows").cast("long"))).alias("less"), "n_windows")).alias("best"))
+    best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.col("n")).alias("less"), "n_windows")).alias("best"))
     return best.select("uid", "item_id", F.when(F.col("best.changed") == 1, "reparameterised").otherwise("verbatim").alias("kind"), (-F.col("best.less")).alias("n_matched"), "best.n_windows")
 
 

@@ -65,3 +65,11 @@ def test_items_of_one_template_are_judged_each_by_its_own_slots(spark):
     got = pairs(spark, [(3, other), (7, ADD), (8, ADD), (9, TRAIN), (9, TRAIN.replace("120", "90"))], ["So. " + ADD, "So. " + other, TRAIN.replace("120", "90")])
     assert {k: v[0] for k, v in got.items()} == {(0, 7): "verbatim", (1, 3): "verbatim", (1, 7): "reparameterised", (2, 9): "verbatim"}
     assert all(n <= of for _, n, of in got.values())
+
+
+def test_scattered_windows_are_no_run(spark):
+    start, end = "the quick brown fox jumps over a lazy", "near the river bank today again and again"
+    part = FOX.split()
+    texts = [" clean words between ".join([start] * 6), " and ".join([" ".join(part[:8]), " ".join(part[6:])]), "nine words make this one item of the test x " * 1, "nine words make this one item of the so nine words make this one item of the", f"{start} {end} " * 6]
+    got = pairs(spark, [(5, FOX), (6, "nine words make this one item of the test")], texts)
+    assert got == {(2, 6): ("verbatim", 2, 2)}
