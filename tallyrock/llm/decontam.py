@@ -8,8 +8,11 @@ item and how their windows are aligned) matched words in a row make a run, withi
 for one value in the text; if not, only runs of windows without slots count. A text is contaminated by an item if one run has
 ``LEAST_RUN`` words, or the whole of a shorter item; runs are never added up. A question with other numbers or names is so found as ``reparameterised``, one with the same as ``verbatim``.
 
-Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` template words, windows with fewer literal
-words than half, or texts with a null id in the benchmark; items with equal templates and slots count as the smallest item_id of
+Windows with fewer literal words than half are weak: they count in a run that has a window which is not. Items with weak windows,
+or of fewer than ``SHORTEST`` template words, have a third form as well, their words in lower case, numbers kept; it is matched
+exactly, by windows of ``WINDOW`` words or the whole of a shorter item, down to one word.
+
+Null or empty texts and items match nothing, nor do texts with a null id in the benchmark; items with equal templates and slots count as the smallest item_id of
 them, and items that share a template only are judged each by its own slots;
 equal rows are judged alike, each by itself; empty tables give an empty result; other columns are ignored or passed on.
 
@@ -37,11 +40,13 @@ UNITS = (
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
 #: The sets of an occurrence's windows in which runs are sought.
-ALL, SLOTLESS = 0, 1
+ALL, STRONG, SLOTLESS = 0, 1, 2
+#: The forms of a text: names as placeholders, names as words, all as words.
+NAMES, PLAIN, EXACT = 0, 1, 2
 PREFIX = {NUMBER: "number:", UNIT: "unit:", NAME: "name:"}
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?:\n"]] = True
-SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, content long"
+SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, content long, size int, strong boolean"
 
 
 def unit_hashes() -> np.ndarray:
@@ -84,9 +89,9 @@ def template(owner: np.ndarray, hashed: np.ndarray, kind: np.ndarray, start: np.
     return owner[first], hashed, kind[first], start[first], ends
 
 
-def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tuple[int, bytes] | None = None) -> DataFrame:
-    """SCHEMA: the windows of (uid, text). With sizes and bits: of these sizes, those whose hash a bitmap has; without: of WINDOW
-    words, or the whole text if it is shorter."""
+def template_windows(texts: DataFrame, sizes: dict[int, list[int]] | None = None, bits: tuple[int, bytes] | None = None) -> DataFrame:
+    """SCHEMA: the windows of (uid, text). With sizes by form and bits: of these sizes, those whose hash a bitmap has; without: of
+    WINDOW words, or the whole text if it is shorter, in the forms that it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(bits[1], np.uint8) if bits else None
@@ -100,32 +105,48 @@ def template_windows(texts: DataFrame, sizes: list[int] | None = None, bits: tup
                 if not len(found[0]):
                     continue
                 plain = np.where(found[2] == NAME, 0, found[2]).astype(np.int8)
-                for form, kinds in enumerate((found[2], plain)):
+                exact = np.zeros(j - i, bool)  # texts that need the third form
+                for form, kinds in enumerate((found[2], plain, np.zeros_like(plain))):
+                    if sizes is not None and form not in sizes:
+                        continue
                     owner, hashed, kind, start, end = template(*found[:2], kinds, *found[3:])
                     count = np.bincount(owner, minlength=j - i)
                     first = np.concatenate(([0], np.cumsum(count)))
                     content = np.zeros(j - i, np.int64)
                     if bitmap is None:  # the template with what stands in its slots
                         content = hashes(sums(np.where(kind > 0, mix(hashed ^ hashes(letters, start, end)), hashed)), first[:-1], first[1:]).view(np.int64)
+                    if form == PLAIN:
+                        exact |= (count > 0) & (count < SHORTEST)
                     literal = np.concatenate(([0], np.cumsum(kind == 0)))
-                    for size in sizes or range(SHORTEST, WINDOW + 1):
+                    least = 1 if form == EXACT else SHORTEST
+                    for size in sizes[form] if sizes is not None else range(least, WINDOW + 1):
                         at, value = windows(hashed, owner, size)
-                        value = mix(value + np.uint64(2 * size + form))
-                        use = literal[at + size] - literal[at] >= (size + 1) // 2
+                        value = mix(value + np.uint64(4 * size + form))
+                        strong = literal[at + size] - literal[at] >= (size + 1) // 2
                         if bitmap is None:
-                            use &= (count[owner[at]] == size) | (size == WINDOW)
+                            use = (count[owner[at]] == size) | (size == WINDOW)
+                            if form == PLAIN:
+                                exact[owner[at[use & ~strong]]] = True
+                            if form == EXACT:
+                                use &= exact[owner[at]]
                         else:
                             bit = value >> np.uint64(64 - bits[0])
-                            use &= (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                        at, value = at[use], value[use]
+                            use = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        at, value, strong = at[use], value[use], strong[use]
+                        if bitmap is None:  # weak windows need one of their text, or of their run, that is not
+                            of = owner[at]
+                        else:
+                            of = np.cumsum(np.concatenate(([0], (np.diff(at) > WINDOW) | (np.diff(owner[at]) > 0)))) if len(at) else at
+                        use = np.isin(of, of[strong])
+                        at, value, strong = at[use], value[use], strong[use]
                         if not len(at):
                             continue
                         own = owner[at]
                         slots = [[PREFIX[int(kind[k])] + part[start[k] : end[k]].tobytes().decode(errors="replace").lower() for k in range(a, a + size) if kind[k]] if literal[a + size] - literal[a] < size else [] for a in at]
                         n = np.maximum(count[own] - WINDOW + 1, 1)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(content[own])],
-                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "content"],
+                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(content[own]), pa.array(np.full(len(at), size, np.int32)), pa.array(strong)],
+                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "content", "size", "strong"],
                         )
 
     return texts.select("uid", "text").mapInArrow(run, SCHEMA)
@@ -149,17 +170,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = items.groupBy("form", "content").agg(F.min("uid").alias("uid"))
     items = items.join(least, ["form", "content", "uid"], "left_semi").dropDuplicates(["uid", "form", "content", "pos"])
     items = checkpoint(items)
-    short = [r[0] for r in items.filter("n_windows = 1").select(F.lit(1)).limit(1).collect()]
-    sizes = list(range(SHORTEST, WINDOW + 1)) if short else [WINDOW]
+    sizes = {}
+    for form, size in sorted(items.select("form", "size").distinct().collect()):  # at most WINDOW for each form
+        sizes.setdefault(form, []).append(size)
     found = template_windows(docs, sizes, bitmap_of(items, items.count()))
-    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows", "content")
+    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows", "content", "strong")
     joined = found.select("uid", "form", "hash", "pos", "slots").join(of_item, ["hash", "form"]).filter(F.size("slots") == F.size("_slots"))
     key = ["uid", "item_id", "form", "content", "_shift"]
     joined = joined.withColumn("_shift", F.col("pos") - F.col("_pos"))
-    # of each window of an occurrence once, and again among those without slots; its slots as pairs (of the item, of the text)
+    # of each window of an occurrence once, and again among those that are not weak and those without slots; its slots as pairs (of the item, of the text)
     pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
-    sets = F.when(F.size("pairs") == 0, F.array(F.lit(ALL), F.lit(SLOTLESS))).otherwise(F.array(F.lit(ALL)))
-    once = joined.select(*key, "_pos", "n_windows", pairs.alias("pairs")).withColumn("_set", F.explode(sets))
+    sets = F.when(F.size("pairs") == 0, F.array(F.lit(ALL), F.lit(STRONG), F.lit(SLOTLESS))).when(F.col("strong"), F.array(F.lit(ALL), F.lit(STRONG))).otherwise(F.array(F.lit(ALL)))
+    once = joined.select(*key, "_pos", "n_windows", "strong", pairs.alias("pairs")).withColumn("_set", F.explode(sets))
     # windows at most WINDOW apart touch, so that their words are in a row
     in_set = Window.partitionBy(*key, "_set").orderBy("_pos")
     gap = F.col("_pos") - F.lag("_pos").over(in_set) > WINDOW
@@ -168,12 +190,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run = [*key, "_set", "_run"]
     slots = once.filter(F.size("pairs") > 0).select(*run, F.explode("pairs").alias("p")).groupBy(*run, F.col("p.a").alias("a")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
     judged = slots.groupBy(*run).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("conflict"), F.max(((F.col("low") != F.col("a")) | (F.col("high") != F.col("a"))).cast("int")).alias("changed"))
-    lengths = once.groupBy(*run).agg((F.max("_pos") - F.min("_pos") + 1).cast("long").alias("n"), F.max("n_windows").alias("n_windows"))
-    consistent = lengths.join(judged, run, "left").filter(F.coalesce("conflict", F.lit(0)) == 0)
+    lengths = once.groupBy(*run).agg((F.max("_pos") - F.min("_pos") + 1).cast("long").alias("n"), F.max("n_windows").alias("n_windows"), F.max("strong").alias("strong"))
+    consistent = lengths.filter("strong").join(judged, run, "left").filter(F.coalesce("conflict", F.lit(0)) == 0)
     # a run without slots speaks for an item only where the slots around it conflict
     changed = F.when(F.col("_set") == SLOTLESS, 1).otherwise(F.coalesce("changed", F.lit(0)))
     enough = consistent.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows"))).withColumn("changed", changed)
-    # of an item's two templates the one without a change, else with more windows, speaks for it
+    # of an item's forms and runs the one without a change, else with more windows, speaks for it
     best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.col("n")).alias("less"), "n_windows")).alias("best"))
     return best.select("uid", "item_id", F.when(F.col("best.changed") == 1, "reparameterised").otherwise("verbatim").alias("kind"), (-F.col("best.less")).alias("n_matched"), "best.n_windows")
 

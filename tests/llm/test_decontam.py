@@ -73,3 +73,17 @@ def test_scattered_windows_are_no_run(spark):
     texts = [" clean words between ".join([start] * 6), " and ".join([" ".join(part[:8]), " ".join(part[6:])]), "nine words make this one item of the test x " * 1, "nine words make this one item of the so nine words make this one item of the", f"{start} {end} " * 6]
     got = pairs(spark, [(5, FOX), (6, "nine words make this one item of the test")], texts)
     assert got == {(2, 6): ("verbatim", 2, 2)}
+
+
+CONVERT = "Convert 3 hours 20 minutes 15 seconds to seconds and 2 days 4 hours to minutes"
+TABLE = "3 kg 5 lb 7 kg 9 lb 11 kg 13 lb 15 kg 17 lb"
+
+
+def test_items_with_many_placeholders(spark):
+    items = [(1, CONVERT), (2, "What is 17 times 23?"), (3, "What is 12 + 7?"), (4, TABLE), (6, "zyzzyva")]
+    texts = [
+        f"So. {CONVERT} now", "So. " + CONVERT.replace("20", "50").replace("15", "45").replace("2 days", "6 days"), "and what is 17 times 23? asks one", "what is 17 times 24?", "what is 12 + 7, then", "what is 12 + 8, then",
+        f"we have {TABLE} here", TABLE.replace("9", "8"), "a zyzzyva", "convert hours to seconds and days to minutes",
+    ]
+    got = {k: v[0] for k, v in pairs(spark, items, texts).items()}
+    assert got == {(0, 1): "verbatim", (1, 1): "reparameterised", (2, 2): "verbatim", (4, 3): "verbatim", (6, 4): "verbatim", (8, 6): "verbatim"}
