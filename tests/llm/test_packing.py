@@ -50,11 +50,35 @@ def test_cut(n, pieces):
     assert packing.cut(n, 4) == pieces
 
 
-def test_ids_are_those_of_the_tokenizer():
-    whole, fast = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.Tokens()
-    texts = [t or "" for _, t in DOCS] + ["<|endoftext|>", "a <|endoftext|> b", "  two  spaces\n\n\ttabs ", "don't I'LL we've", "‍﻿\x00", "１２３ ½ ²"]
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
+def test_ids_are_those_of_the_tokenizer(library):
+    fast = packing.Tokens()
+    texts = [t or "" for _, t in DOCS] + ["<|endoftext|>", "a <|endoftext|> b", "  two  spaces\n\n\ttabs ", "don't I'LL we've", "‍﻿\x00", "１２３ ½ ²", "<|endoftext|><|endoftext|>", "\x1c \x1d\x85\u2028 x"]
     for t in texts:
-        assert fast.ids(t) == whole.encode(t, add_special_tokens=False).ids, t[:40]
+        assert fast.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+@pytest.mark.parametrize("one", [" ", "\n", "\t \n", "7", "a", "é", "!", "\x1c", "word ", "a  "])
+@pytest.mark.parametrize("tail", ["x", " x", "", "<|endoftext|> x", "\n"])
+def test_ids_of_long_runs(library, monkeypatch, one, tail):
+    """Runs beyond every bound, with the bounds drawn down."""
+    monkeypatch.setattr(packing, "LONG_RUN", 64)
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 100)
+    fast = packing.Tokens()
+    for head in ("", "x", "x ", " <|endoftext|>"):
+        for n in (60, 64, 65, 500):
+            t = head + one * n + tail
+            assert fast.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, (head, n)
+
+
+@pytest.mark.parametrize("one", [" ", "\n", "7", "a", " \n"])
+def test_ids_of_a_million(library, one):
+    t = "so " + one * 1_000_000 + "x"
+    assert packing.Tokens().ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(spark, tmp_path):
@@ -63,7 +87,7 @@ def test_packing(spark, tmp_path):
     tokens = packing.Tokens()
     want = Counter()
     for doc, text in DOCS:
-        ids = [*tokens.ids(text or ""), packing.END_TOKEN]
+        ids = [*tokens.ids(text or "").tolist(), packing.END_TOKEN]
         for k, (start, length) in enumerate(packing.cut(len(ids), packing.SIZE)):
             want[doc, k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
