@@ -1,3 +1,6 @@
+import collections
+import random
+
 import pytest
 from cases import DOCS, docs, write
 
@@ -9,7 +12,22 @@ def store(spark, tmp_path, **how):
 
 
 def whole(df):
-    return sorted((str(tuple(r)) for r in df.drop("_shard").collect()))
+    return sorted((str(tuple(r)) for r in df.drop("_shard", "_shard_bytes", "_shard_rows").collect()))
+
+
+def arrive(spark, s, tmp_path, name, rows):
+    docs(spark, rows).coalesce(1).write.parquet(str(tmp_path / name))
+    return s.append(str(tmp_path / name))
+
+
+def expected_tier(size, s):
+    """The tier by counting up, apart from the operator's logarithm."""
+    if 2 * size >= s.target_bytes:
+        return sharding.DONE
+    tier, limit = 0, sharding.SMALLEST
+    while size > limit:
+        tier, limit = tier + 1, limit * s.fan_in
+    return tier
 
 
 def test_append_and_compact(spark, tmp_path):
@@ -25,29 +43,91 @@ def test_append_and_compact(spark, tmp_path):
     assert whole(s.read(schema, 7)) == sorted(want)
     version = s.compact_all(schema)
     assert version > 7 and s.manifest().count() < before
-    assert whole(s.read(schema)) == sorted(want)
+    assert whole(s.read(schema)) == sorted(want) and whole(s.read(schema, 7)) == sorted(want)
     sizes = [r.bytes for r in s.manifest().collect()]
     assert max(sizes) <= 2 * s.target_bytes and sum(r.rows for r in s.manifest().collect()) == len(want)
-    assert s.compact(schema) is None or s.manifest().count() <= before
+    assert s.compact(schema) is None
+
+
+def test_many_small_arrivals_leave_few_shards(spark, tmp_path):
+    """Each arrival compacted as it comes: every tier below the target holds less than fan_in shards, and tiers follow from sizes."""
+    s = store(spark, tmp_path, target_bytes=40_000, fan_in=3)
+    schema = docs(spark).schema
+    rng, want = random.Random(4), []
+    for k in range(9):
+        rows = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(4000)))]
+        want += rows
+        arrive(spark, s, tmp_path, f"in{k}", rows)
+        s.compact_all(schema)
+        shards = s.manifest().collect()
+        assert all(r.tier == expected_tier(r.bytes, s) for r in shards)
+        count = collections.Counter(r.tier for r in shards)
+        assert all(n < s.fan_in for tier, n in count.items() if tier != sharding.DONE)
+    assert len(shards) <= 6 and any(r.tier > 0 or r.tier == sharding.DONE for r in shards)
+    assert whole(s.read(schema)) == sorted(str(r) for r in want)
 
 
 def test_only_one_writer_commits(spark, tmp_path):
     s = store(spark, tmp_path)
-    docs(spark).write.parquet(str(tmp_path / "in"))
-    s.append(str(tmp_path / "in"))
+    arrive(spark, s, tmp_path, "in", DOCS)
     with pytest.raises(sharding.Conflict):
         s.commit(s.manifest(), 1)
     assert s.versions() == [1] and whole(s.read(docs(spark).schema)) == whole(docs(spark))
 
 
-def test_uncommitted_shards_are_not_read(spark, tmp_path):
-    s = store(spark, tmp_path)
-    docs(spark).write.parquet(str(tmp_path / "in"))
-    s.append(str(tmp_path / "in"))
-    s.write(docs(spark, [(1, "lost")]))
-    assert whole(s.read(docs(spark).schema)) == whole(docs(spark))
-    s.vacuum()
-    assert whole(s.read(docs(spark).schema)) == whole(docs(spark))
+def test_interleaved_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    s, other = store(spark, tmp_path, fan_in=2), store(spark, tmp_path, fan_in=2)
+    schema = docs(spark).schema
+    arrive(spark, s, tmp_path, "a", [(1, "a")])
+    first, name = s.write(docs(spark, [(2, "b")]))  # written, not yet committed
+    arrive(spark, other, tmp_path, "c", [(3, "c")])
+    other.compact_all(schema)
+    other.vacuum(keep=1)
+    s.change(first, name)
+    assert whole(s.read(schema)) == sorted(map(str, [(1, "a"), (2, "b"), (3, "c")]))
+    # a version that comes up while a commit is prepared
+    second, name = s.write(docs(spark, [(4, "d")]))
+    real, times = s.commit, []
+
+    def late(shards, version):
+        if not times:
+            times.append(arrive(spark, other, tmp_path, "e", [(5, "e")]))
+        return real(shards, version)
+
+    monkeypatch.setattr(s, "commit", late)
+    s.change(second, name)
+    assert len(s.read(schema).collect()) == 5
+    # a merge of shards that another has merged is given up
+    merge = s.manifest()
+    merged, name = s.write(docs(spark, [(9, "of no use")]))
+    other.compact_all(schema)
+    with pytest.raises(sharding.Lost):
+        s.change(merged, name, merge)
+    assert len(s.read(schema).collect()) == 5
+
+
+def test_vacuum_spares_young_kept_and_pinned(spark, tmp_path):
+    s = store(spark, tmp_path, fan_in=2)
+    schema = docs(spark).schema
+    arrive(spark, s, tmp_path, "a", [(1, "a")])
+    s.pin(1)
+    for k in range(3):
+        arrive(spark, s, tmp_path, f"b{k}", [(k, "b")])
+        s.compact_all(schema)
+    lost, name = s.write(docs(spark, [(1, "lost")]))
+    s.vacuum(keep=1)  # young data stays
+    s.change(lost, name)
+    assert len(s.read(schema).collect()) == 5
+    s.write(docs(spark, [(1, "never committed")]))
+    s.vacuum(keep=2, grace=0)
+    assert len(s.versions()) == 3 and len(s.read(schema, 1).collect()) == 1 and len(s.read(schema, s.versions()[-2]).collect()) == 4
+    s.pin(1, False)
+    s.vacuum(keep=1, grace=0)
+    assert len(s.versions()) == 1 and len(s.read(schema).collect()) == 5
+    gone, name = s.write(docs(spark, [(1, "x")]))
+    s.vacuum(grace=0)
+    with pytest.raises(sharding.Lost):
+        s.change(gone, name)
 
 
 def test_query(spark, tmp_path):
