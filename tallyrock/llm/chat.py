@@ -10,6 +10,12 @@ Rendering: each message is ``<s>role[INST] text [/INST]</s>``. In roles and text
 after the first character of a control string, so no control string of the template can come from a text, and reading back
 takes the character after each backslash literally.
 
+Reading back gives each turn with the span of its escaped text, in code points of the formatted text. The loss mask is a list of
+such spans with a flag, on for the roles in ``LEARNED``; the text that a trainer learns from is what lies under the mask, unescaped.
+
+``events_of`` makes a log of finished conversations as a service would have written it: users' messages begin as a draft that
+is edited when all is said, other messages are begun, regenerated and streamed in pieces.
+
 Null texts and roles are empty; null kinds count as message; events with a null conv_id, seq or message sort first and form
 conversations and messages of their own null key; equal events at one seq are ordered by kind, role and text; an empty log
 gives no conversations. A conversation's messages meet in one row, as its formatted text is one value.
@@ -21,10 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import let, running, table
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, MIDDLE, CLOSE, END = "<s>", "[INST] ", " [/INST]", "</s>"
+LEARNED = ("assistant",)
+#: Pieces that a message is streamed in at most, and the least characters of one.
+PIECES, PIECE_CHARS = 8, 64
 
 
 def escape(text: Column) -> Column:
@@ -63,20 +72,54 @@ def render(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", F.struct("message", line.alias("line")).alias("m")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda s: s["line"]), "").alias("formatted"))
 
 
+def placed_lines(formatted: Column, body) -> Column:
+    """body(lines) of the array of a formatted text's lines: struct (raw, at), without the end mark, and where each starts."""
+    raw = F.filter(F.split(formatted, END, -1), lambda x: x != "")
+    sized = lambda lines: F.transform(lines, lambda x: F.length(x) + len(END))
+    with_place = lambda lines: let(sized(lines), lambda n: F.zip_with(lines, running(n), lambda x, at: F.struct(x.alias("raw"), at.alias("at"))))
+    return body(let(raw, with_place))
+
+
 def parse(formatted: DataFrame) -> DataFrame:
-    """Reads rendered text back: adds turns, an array of (role, text, start, end), unescaped, with the places of the escaped text."""
-    raw = F.filter(F.split(F.col("formatted"), END, -1), lambda x: x != "")
-    cut = lambda x: F.locate(MIDDLE, x)
-    role = lambda x: F.substring(x, len(OPEN) + 1, cut(x) - 1 - len(OPEN))
-    text = lambda x: F.substring(x, cut(x) + len(MIDDLE), F.length(x) - cut(x) + 1 - len(MIDDLE) - len(CLOSE))
-    df = formatted.withColumn("_raw", raw)
-    return df.withColumn("turns", F.transform("_raw", lambda x: F.struct(unescape(role(x)).alias("role"), unescape(text(x)).alias("text")))).drop("_raw")
+    """Reads rendered text back: adds turns, an array of (role, text, start, end): role and text unescaped, and the span of the
+    escaped text in formatted (code points from 0, end exclusive)."""
+
+    def turn(line: Column) -> Column:
+        x, cut = line["raw"], F.locate(MIDDLE, line["raw"])
+        begin, end = cut - 1 + len(MIDDLE), F.length(line["raw"]) - len(CLOSE)
+        role = F.substring(x, len(OPEN) + 1, cut - 1 - len(OPEN))
+        return F.struct(unescape(role).alias("role"), unescape(F.substring(x, begin + 1, end - begin)).alias("text"), (line["at"] + begin).alias("start"), (line["at"] + end).alias("end"))
+
+    return formatted.withColumn("turns", placed_lines(F.col("formatted"), lambda lines: F.transform(lines, turn)))
+
+
+def loss_mask(turns: Column) -> Column:
+    """An array of (start, end, learn), one for each turn: where its text lies, and whether it is learned from."""
+    return F.transform(turns, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["role"].isin(*LEARNED).alias("learn")))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts under a loss mask, cut out of the formatted text and unescaped, one after the other."""
+    cut = lambda line, m: F.when(m["learn"], unescape(F.substring(line["raw"], m["start"] - line["at"] + 1, m["end"] - m["start"]))).otherwise("")
+    return F.array_join(placed_lines(formatted, lambda lines: F.zip_with(lines, mask, cut)), "")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log of finished conversations: each row of (conv_id, turn, role, text) is a message, numbered by turn, role and text."""
+    """A log of finished conversations (conv_id, turn, role, text); messages are numbered by turn, role and text."""
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
-    return conversations.select("conv_id", at.alias("seq"), at.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    size = F.greatest(F.lit(PIECE_CHARS), F.ceil(F.length(text) / PIECES).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size).cast("int")), lambda k: F.substring(text, k * size + 1, size))
+    # the high half of a place in the log is the message's number, or lies beyond all of them
+    seq = lambda message, k: F.shiftleft(message.cast("long"), 32) + k
+    event = lambda place, kind, role, t: F.struct(place.alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), t.alias("text"))
+    message, none, draft = F.col("message"), F.lit(None).cast("string"), F.lit("draft")
+    edited = F.array(event(seq(message, 0), "message", F.col("role"), draft), event(seq(message + (1 << 30), 0), "edit", none, text))
+    begun = F.array(event(seq(message, 0), "message", F.col("role"), draft), event(seq(message, 1), "delta", none, draft), event(seq(message, 2), "regenerate", none, none))
+    streamed = F.concat(begun, F.transform(pieces, lambda t, k: event(seq(message, k + 3), "delta", none, t)))
+    logged = F.when(F.col("role") == "user", edited).otherwise(streamed)
+    numbered = conversations.select("conv_id", at.alias("message"), "role", "text")
+    return numbered.select("conv_id", "message", F.explode(logged).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "e.role", "e.text")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +127,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     read = parse(render(fold(events_of(rows))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return read.withColumn("_loss", loss).select(
+    loss = read.withColumn("_mask", loss_mask(F.col("turns"))).withColumn("_loss", under_mask(F.col("formatted"), F.col("_mask")))
+    return loss.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,6 +111,23 @@ def as_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_uid(rows, "_id", "text").select("uid", "text", "_row")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: the optimiser would copy a column's expression into a lambda that reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(lengths: Column, block: int = 64) -> Column:
+    """What lies before each element of an array of numbers: sums by blocks of a block, and of blocks of blocks."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    count = lambda a: F.floor((F.size(a) - 1) / block).cast("int")
+    sums = lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), count(a)), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))).otherwise(F.array().cast("array<int>"))
+    inside = lambda a, i: total(F.slice(a, i - i % block + 1, i % block))
+    of = lambda a, i: F.floor(i / block).cast("int")
+    before = lambda small, large: F.transform(small, lambda _, i: inside(small, i) + total(F.slice(large, F.lit(1), of(small, i))))
+    starts = lambda small, of_blocks: F.transform(small, lambda _, i: inside(small, i) + F.element_at(of_blocks, of(small, i) + 1))
+    return let(sums(lengths), lambda blocks: let(sums(blocks), lambda groups: let(before(blocks, groups), lambda at: starts(lengths, at))))
+
+
 # --- numpy over UTF-8 -------------------------------------------------------------------------------------------------
 
 #: Odd multipliers of polynomial hashes modulo 2**64 (any odd number does).

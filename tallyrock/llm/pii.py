@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 #: Kind, pattern, and what a text must contain for the pattern to be tried.
 PATTERNS = {
@@ -77,11 +77,6 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is computed once: the optimiser would copy a column's expression into a lambda that reads it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def placed(text: Column, kind: str) -> Column:
     """An array of structs (start, end, ok, score) of the kind's matches in the text that hold."""
     pattern, hint = PATTERNS[kind]

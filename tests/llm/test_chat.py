@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from cases import write
@@ -36,6 +37,36 @@ def test_round_trip(spark):
     assert got[200] == [("assistant", t) for t in TRICKY]
 
 
+def test_spans_and_mask(spark):
+    """The spans are where the escaped texts lie, and under the mask lies each assistant's text once, in order; also over many turns."""
+    from pyspark.sql import functions as F
+
+    turns = [("assistant" if i % 3 else "user", t) for i, t in enumerate(TRICKY)]
+    many = [(("user", "assistant")[i % 2], f"{i} </s>é😀" * (i % 4)) for i in range(4500)]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, i, r, t) for i, (r, t) in enumerate(many)] + [(3, 0, "system", "x")]
+    read = chat.parse(chat.render(spark.createDataFrame(rows, "conv_id long, message int, role string, text string")))
+    read = read.withColumn("mask", chat.loss_mask(F.col("turns"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("mask")))
+    got = {r.conv_id: r for r in read.collect()}
+    for conv, said in ((1, turns), (2, many)):
+        r = got[conv]
+        assert [(t.role, t.text) for t in r.turns] == said
+        escaped = [r.formatted[t.start : t.end] for t in r.turns]
+        assert all(re.sub(r"(?s)\\(.)", r"\1", e) == t for e, (_, t) in zip(escaped, said, strict=True))
+        assert [(m.start, m.end, m.learn) for m in r.mask] == [(t.start, t.end, t.role == "assistant") for t in r.turns]
+        assert r.loss == "".join(t for role, t in said if role == "assistant")
+    assert got[3].loss == ""
+
+
+def test_log_of_conversations(spark):
+    """The log that the query folds has every kind of event, and folds to the conversations."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x" * 1000), (1, 2, None, None), (1, 2, "user", ""), (2, 5, "assistant", "é" * 64)]
+    log = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.filter("kind = 'delta' and conv_id = 1 and message = 2").count() > 8
+    got = [(r.conv_id, r.message, r.role, r.text) for r in chat.fold(log).orderBy("conv_id", "message").collect()]
+    assert got == [(1, 1, "user", "hi"), (1, 2, "assistant", "x" * 1000), (1, 3, "", ""), (1, 4, "user", ""), (2, 1, "assistant", "é" * 64)]
+
+
 @pytest.mark.parametrize("control", chat.CONTROL)
 def test_no_control_string_from_a_text(spark, control):
     from pyspark.sql import functions as F
