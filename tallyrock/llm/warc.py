@@ -2,9 +2,12 @@
 
 Each page becomes a WARC record. The archive is two tables: ``payloads`` holds each different payload once, compressed, under its SHA-256,
 ``records`` holds the exact header bytes of each record with the digest of its payload. Reading joins them, checks the stored
-bytes against their address, and gives back the record: header, payload and the closing line ends. Of records with equal
-payloads of at least ``REVISIT_FROM`` bytes, that with the largest id is the response; the others are revisits that refer to
-it. Small payloads are always responses.
+bytes against their address, puts the bytes of each record together (header, content and the closing line ends) and parses
+them as a WARC file is parsed. Of records with equal payloads of at least ``REVISIT_FROM`` bytes, that with the largest id is
+the response; the others are revisits, without content, that refer to it. Small payloads are always responses.
+
+A url of printable ASCII characters stands in its header as it is. In any other, the characters that aren't and ``%`` are
+percent-encoded as UTF-8 and a header field says so, so that no url can end its line and every one is read back exactly.
 
 Null payloads are empty; a null url is an empty target; equal rows each get a record, of which the first is the response;
 a null page_id sorts below all others; an empty table gives an empty archive; other columns are ignored.
@@ -15,30 +18,42 @@ payload bytes are never gathered by key, and the joins on reading are ones that
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, free_shuffles, table
+from .common import Staged, checkpoint, free_shuffles, table
 
 REVISIT_FROM = 1000
 EXPANDED_BYTES = 4 << 20
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: What a url must not have to stand in a header as it is, and the field of those that have it.
+UNSAFE, ESCAPED = r"[^\x21-\x7E]", "X-Target-URI-Escaped"
+RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
 
 
 def record_uri(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
+def safe_uri(url: Column) -> Column:
+    """A url without characters that could end a line or a field; those that need it are escaped as a whole."""
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    escaped = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"^[\x21-\x24\x26-\x7E]?\z"), c).otherwise(code(c))), "")
+    return F.when(url.rlike(UNSAFE), escaped).otherwise(url)
+
+
 def header(kind: Column, refers_to: Column) -> Column:
     """A record's exact header bytes, WARC and HTTP blocks, from page_id, url, sha1 and bytes."""
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_uri(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")), F.lit(f"WARC-Date: {DATE}"),
+        F.concat(F.lit("WARC-Target-URI: "), safe_uri(F.coalesce("url", F.lit("")))), F.when(F.col("url").rlike(UNSAFE), f"{ESCAPED}: percent"), F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), record_uri(refers_to), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.when(kind == "revisit", F.lit("0")).otherwise(F.col("bytes").cast("string"))),
@@ -57,23 +72,6 @@ def compressed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def expanded(df: DataFrame) -> DataFrame:
-    """The last column, a compressed payload, in full; the rows of a batch of at most EXPANDED_BYTES, or one larger payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            held, size, start = [], 0, 0
-            for k, x in enumerate(batch.columns[-1], 1):
-                held.append(expand(x.as_py()))
-                size += len(held[-1])
-                if size >= EXPANDED_BYTES or k == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k - start) for c in batch.columns[:-1]), pa.array(held, pa.binary())], names=batch.schema.names)
-                    held, size, start = [], 0, k
-
-    return df.mapInArrow(run, df.schema)
-
-
 def write_archive(pages: DataFrame, out: Staged) -> None:
     """Stores pages (page_id, url, html) as the tables payloads and records."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -95,20 +93,42 @@ def write_archive(pages: DataFrame, out: Staged) -> None:
     free_shuffles(pages.sparkSession)
 
 
-def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(header, payload) of each record, the payload in full also for revisits; fails on bytes that don't match their address."""
-    found = expanded(records.join(payloads, "sha256").select("sha256", "header", "payload"))
-    return found.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("stored payload doesn't match its digest")).cast("binary")))
+def parsed_page(value: str | None) -> int | None:
+    """The id in a record's URI."""
+    inside = value.removeprefix("<urn:page:").removesuffix(">") if value else ""
+    return int(inside) if inside else None
 
 
-def records_of(archive: DataFrame) -> DataFrame:
-    """The bytes of each WARC record as a file would hold them."""
-    body = F.when(F.decode("header", "UTF-8").contains("WARC-Type: revisit"), F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select(F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"))
+def read_archive(records: DataFrame, payloads: DataFrame, contents: bool = True) -> DataFrame:
+    """RECORD_SCHEMA, and with contents record and payload, of each record of an archive: the bytes of the original record, and its
+    payload in full also for revisits. Fails on bytes that don't match their address or their record's digest."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows, size = [], 0
+            for k, (address, head, stored) in enumerate(zip(*batch.columns, strict=True), 1):
+                payload, head = expand(stored.as_py()), head.as_py()
+                if hashlib.sha256(payload).hexdigest() != address.as_py():
+                    raise ValueError("stored payload doesn't match its digest")
+                revisit = head.startswith(b"WARC/1.1\r\nWARC-Type: revisit\r\n")
+                record = b"".join((head, b"" if revisit else payload, b"\r\n\r\n"))
+                (fields, content), *more = parse_warc(record)
+                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                if more or content != (b"" if revisit else payload) or hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError("a record doesn't match its payload")
+                uri = fields["WARC-Target-URI"]
+                found = (parsed_page(fields["WARC-Record-ID"]), unquote(uri) if ESCAPED in fields else uri, fields["WARC-Type"], parsed_page(fields.get("WARC-Refers-To")), digest, len(payload))
+                rows.append((*found, record, payload) if contents else found)
+                size += len(payload)
+                if size >= EXPANDED_BYTES or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows, size = [], 0
 
-def field(name: str) -> Column:
-    return F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: (?:sha1:|<urn:page:)?([^\r>]*)", 1)
+    schema = RECORD_SCHEMA + (", record binary, payload binary" if contents else "")
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*((n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))), strict=True)
+    return records.join(payloads, "sha256").select("sha256", "header", "payload").mapInArrow(run, schema)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -119,7 +139,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split(CRLF)[1:])
+        head = dict(line.split(": ", 1) for line in data[at:end].decode().split(CRLF)[1:])  # only a CRLF ends a line
         size = int(head["Content-Length"])
         yield head, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
@@ -138,14 +158,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive goes when what was read back from it is written."""
     out = Staged(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), out)
-    archive = read_archive(spark.read.parquet(out.path("records")), spark.read.parquet(out.path("payloads")))
-    number = lambda c: F.when(c != "", c).cast("long")
-    digest = F.when(F.sha1("payload") == field("WARC-Payload-Digest"), field("WARC-Payload-Digest")).otherwise(F.raise_error(F.lit("a record's digest doesn't match its payload")))
-    return archive.select(
-        number(field("WARC-Record-ID")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), field("WARC-Type").alias("record_type"), number(field("WARC-Refers-To")).alias("refers_to")
-    )
+    read = read_archive(spark.read.parquet(out.path("records")), spark.read.parquet(out.path("payloads")), contents=False)
+    found = checkpoint(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    out.drop()
+    return found
 
 
 ORACLE = """
