@@ -1,27 +1,33 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units after numbers, and names (words inside a sentence of which the first letter alone is a capital) become typed
-placeholders, runs of one type one placeholder; what stood there are the window's slots. Every text has a second template, in
-which names are ordinary words in lower case, so that a copy with other capitals is found as well. Windows of ``WINDOW`` template words are hashed; those of the texts that
-a bitmap of the benchmark's windows lets through are joined with the benchmark's on the hash. Of an occurrence (a text, an
-item and how their windows are aligned) matched words in a row make a run, within which each value of the item's slots must stand
-for one value in the text; if not, only runs of windows without slots count. A text is contaminated by an item if one run has
-``LEAST_RUN`` words, or the whole of a shorter item; runs are never added up. A question with other numbers or names is so found as ``reparameterised``, one with the same as ``verbatim``.
-
-Windows with fewer literal words than half are weak: they count in a run that has a window which is not. Items with weak windows,
-or of fewer than ``SHORTEST`` template words, have a third form as well, their words in lower case, numbers kept; it is matched
-exactly, by windows of ``WINDOW`` words or the whole of a shorter item, down to one word.
-
-Null or empty texts and items match nothing, nor do texts with a null id in the benchmark; items with equal templates and slots count as the smallest item_id of
-them, and items that share a template only are judged each by its own slots;
-equal rows are judged alike, each by itself; empty tables give an empty result; other columns are ignored or passed on.
-
-The bitmap has at most 2**BITS bits, however large the benchmark is; the join decides. A passage that a third of the texts
-hold makes a frequent hash on one side of the join only, which Spark splits.
+A text is contaminated in one of two ways.
+
+``verbatim``: it has ``RUN`` words in a row of an item, or all words of a shorter one, down to one word; capitals and what
+stands between words don't matter.
+
+``reparameterised``: numbers, units after numbers, and names (words inside a sentence of which the first letter alone is a
+capital) become typed placeholders, runs of one type one placeholder; what stood there are the slots. The text has ``RUN``
+template words in a row of an item, or all of a shorter one of at least ``SHORTEST``. In the longest such run the slots must
+be consistent: each value of the item's stands for one value in the text and the other way round. Somewhere in the run, half of
+``WINDOW`` template words in a row (or of a shorter item) must be literal ones. Every text has a second template, in which names
+are ordinary words in lower case, so that a copy with other capitals is found as well.
+
+Windows of ``RUN`` words, or a whole shorter item, are hashed; windows of texts that a bitmap of the benchmark's lets through
+and that lie in a row make a stretch, with its slots numbered by first occurrence. Stretches with equal hashes and numbers are one
+class, and so are items: a class of stretches meets a class of items by a join on the hash of a window, slots are compared once
+for each pair of classes, and texts take the verdict of their class. So texts and items of one template, however many, never meet
+each by each. A window that a third of the texts hold makes a frequent key on one side of each join only, which Spark splits.
+
+The result has one row for each contaminated text: the kind, verbatim before reparameterised; item_id, of the items that share the
+window that fewest items have, the smallest (of a reparameterised text, the smallest of the class with the longest run); n_items,
+how many share it; n_matched, the windows matched. Null or empty texts and items match nothing, nor do items with a null id; equal rows are judged alike, each by
+itself; empty tables give an empty result; other columns are ignored or passed on. The bitmap has at most 2**BITS bits, however
+large the benchmark is; the join decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +38,21 @@ from pyspark.sql.window import Window
 
 from .common import ALNUM, as_rows, checkpoint, chunks, hashes, lined, lower, mix, runs, sums, table, utf8, windows, with_uid
 
-WINDOW, LEAST_RUN, SHORTEST, BITS = 8, 13, 4, 27
+RUN, WINDOW, SHORTEST, BITS = 13, 8, 4, 27
+#: Windows of a stretch; a longer one, which only a text that repeats itself has, is judged in parts.
+LONGEST = 1 << 14
 UNITS = (
     "mm cm m km in inch inches ft foot feet yard yards mile miles g kg mg lb lbs oz pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees celsius fahrenheit "
     "kmh mph hz khz mhz ghz kb mb gb tb w kw mw v volt volts amp amps j kj cal kcal k people items apples pieces times"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
-#: The sets of an occurrence's windows in which runs are sought.
-ALL, STRONG, SLOTLESS = 0, 1, 2
 #: The forms of a text: names as placeholders, names as words, all as words.
 NAMES, PLAIN, EXACT = 0, 1, 2
-PREFIX = {NUMBER: "number:", UNIT: "unit:", NAME: "name:"}
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?:\n"]] = True
-SCHEMA = "uid long, form int, hash long, pos int, slots array<string>, n_windows int, content long, size int, strong boolean"
+SCHEMA = "uid long, form int, size int, key binary, windows array<struct<hash:long,strong:boolean,slots:array<int>>>"
+WINDOWS = pa.list_(pa.struct([("hash", pa.int64()), ("strong", pa.bool_()), ("slots", pa.list_(pa.int32()))]))
 
 
 def unit_hashes() -> np.ndarray:
@@ -89,115 +95,136 @@ def template(owner: np.ndarray, hashed: np.ndarray, kind: np.ndarray, start: np.
     return owner[first], hashed, kind[first], start[first], ends
 
 
-def template_windows(texts: DataFrame, sizes: dict[int, list[int]] | None = None, bits: tuple[int, bytes] | None = None) -> DataFrame:
-    """SCHEMA: the windows of (uid, text). With sizes by form and bits: of these sizes, those whose hash a bitmap has; without: of
-    WINDOW words, or the whole text if it is shorter, in the forms that it needs."""
+def strong_windows(literal: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows at these words have WINDOW words in a row, or all of theirs, of which half are literal."""
+    part = min(size, WINDOW)
+    out = np.zeros(len(at), bool)
+    for shift in range(size - part + 1):
+        out |= 2 * (literal[at + shift + part] - literal[at + shift]) >= part
+    return out
+
+
+def passes(bits: tuple[int, bytes], value: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has both bits of these hashes."""
+    bitmap, out = np.frombuffer(bits[1], np.uint8), np.ones(len(value), bool)
+    for v in (value, value << np.uint64(32) | value >> np.uint64(32)):
+        bit = v >> np.uint64(64 - bits[0])
+        out &= (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def numbered(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Numbers of slots: the type, and how many different values were met before the first one like this."""
+    _, first, which = np.unique(value, return_index=True, return_inverse=True)
+    return (kind.astype(np.int32) << 24) + np.argsort(np.argsort(first))[which].astype(np.int32)
+
+
+def stretches(texts: DataFrame, sizes: dict[int, list[int]] | None = None, bits: tuple[int, bytes] | None = None) -> DataFrame:
+    """SCHEMA: stretches of windows of (uid, text), and their class. With sizes by form and bits: of windows of these sizes that a
+    bitmap lets through; without: of all windows of RUN words, or of the whole text if it is shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(bits[1], np.uint8) if bits else None
         for batch in batches:
             uid = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
                 part, off = lined(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = words_and_kinds(part, off)
-                letters = sums(lower(part)) if bitmap is None else None
                 if not len(found[0]):
                     continue
+                letters = None
                 plain = np.where(found[2] == NAME, 0, found[2]).astype(np.int8)
-                exact = np.zeros(j - i, bool)  # texts that need the third form
                 for form, kinds in enumerate((found[2], plain, np.zeros_like(plain))):
                     if sizes is not None and form not in sizes:
                         continue
                     owner, hashed, kind, start, end = template(*found[:2], kinds, *found[3:])
                     count = np.bincount(owner, minlength=j - i)
-                    first = np.concatenate(([0], np.cumsum(count)))
-                    content = np.zeros(j - i, np.int64)
-                    if bitmap is None:  # the template with what stands in its slots
-                        content = hashes(sums(np.where(kind > 0, mix(hashed ^ hashes(letters, start, end)), hashed)), first[:-1], first[1:]).view(np.int64)
-                    if form == PLAIN:
-                        exact |= (count > 0) & (count < SHORTEST)
                     literal = np.concatenate(([0], np.cumsum(kind == 0)))
-                    least = 1 if form == EXACT else SHORTEST
-                    for size in sizes[form] if sizes is not None else range(least, WINDOW + 1):
+                    for size in sizes[form] if sizes is not None else range(1 if form == EXACT else SHORTEST, RUN + 1):
                         at, value = windows(hashed, owner, size)
                         value = mix(value + np.uint64(4 * size + form))
-                        strong = literal[at + size] - literal[at] >= (size + 1) // 2
-                        if bitmap is None:
-                            use = (count[owner[at]] == size) | (size == WINDOW)
-                            if form == PLAIN:
-                                exact[owner[at[use & ~strong]]] = True
-                            if form == EXACT:
-                                use &= exact[owner[at]]
-                        else:
-                            bit = value >> np.uint64(64 - bits[0])
-                            use = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                        at, value, strong = at[use], value[use], strong[use]
-                        if bitmap is None:  # weak windows need one of their text, or of their run, that is not
-                            of = owner[at]
-                        else:
-                            of = np.cumsum(np.concatenate(([0], (np.diff(at) > WINDOW) | (np.diff(owner[at]) > 0)))) if len(at) else at
-                        use = np.isin(of, of[strong])
-                        at, value, strong = at[use], value[use], strong[use]
+                        use = passes(bits, value) if bits else (size == RUN) | (count[owner[at]] == size)
+                        at, value = at[use], value[use]
                         if not len(at):
                             continue
-                        own = owner[at]
-                        slots = [[PREFIX[int(kind[k])] + part[start[k] : end[k]].tobytes().decode(errors="replace").lower() for k in range(a, a + size) if kind[k]] if literal[a + size] - literal[a] < size else [] for a in at]
-                        n = np.maximum(count[own] - WINDOW + 1, 1)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(uid[i:j][own]), pa.array(np.full(len(at), form, np.int32)), pa.array(value.view(np.int64)), pa.array((at - first[own]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(n.astype(np.int32)), pa.array(content[own]), pa.array(np.full(len(at), size, np.int32)), pa.array(strong)],
-                            names=["uid", "form", "hash", "pos", "slots", "n_windows", "content", "size", "strong"],
-                        )
+                        strong = strong_windows(literal, at, size)
+                        # only windows of RUN words can lie in a row in an item
+                        begins = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(owner[at]) > 0) | (size < RUN)))
+                        nth = np.arange(len(at))
+                        begins = np.flatnonzero((nth - np.maximum.accumulate(np.where(begins, nth, 0))) % LONGEST == 0)
+                        ends = np.append(begins[1:], len(at))
+                        if form != EXACT:
+                            some = np.add.reduceat(strong.astype(np.int64), begins) > 0
+                            begins, ends = begins[some], ends[some]
+                        if letters is None and form != EXACT and len(begins):
+                            letters = sums(lower(part))
+                        rows: list[list] = [[], [], []]
+                        for a, b in zip(begins, ends, strict=True):
+                            first, last = at[a], at[b - 1] + size
+                            slot = np.flatnonzero(kind[first:last]) + first
+                            ids = numbered(kind[slot], hashes(letters, start[slot], end[slot])) if len(slot) else np.zeros(0, np.int32)
+                            edge = np.searchsorted(slot, np.stack([at[a:b], at[a:b] + size]))
+                            rows[0].append(owner[first])
+                            rows[1].append(hashlib.blake2b(value[a:b].tobytes() + (slot - first).tobytes() + ids.tobytes(), digest_size=16, salt=bytes([form, size])).digest())
+                            rows[2].append([{"hash": h, "strong": s, "slots": ids[x:y].tolist()} for h, s, x, y in zip(value[a:b].view(np.int64).tolist(), strong[a:b].tolist(), *edge.tolist(), strict=True)])
+                        n = len(rows[0])
+                        if n:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(uid[i:j][rows[0]]), pa.array(np.full(n, form, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(rows[1], pa.binary()), pa.array(rows[2], WINDOWS)],
+                                names=["uid", "form", "size", "key", "windows"],
+                            )
 
     return texts.select("uid", "text").mapInArrow(run, SCHEMA)
 
 
-def bitmap_of(items: DataFrame, n: int) -> tuple[int, bytes]:
-    """A bitmap with 16 bits for each of n windows, within bounds; bits are set by the leading bits of the hashes."""
-    bits = int(np.clip(np.ceil(np.log2(max(1, n) * 16)), 16, BITS))
+def bitmap_of(hashed: DataFrame, n: int) -> tuple[int, bytes]:
+    """A bitmap with 64 bits for each of n windows, within bounds; two bits are set by the leading bits of the hash's halves."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) * 64)), 16, BITS))
+    turned = F.expr("shiftleft(hash, 32) | shiftrightunsigned(hash, 32)")
+    both = hashed.select(F.explode(F.array("hash", turned)).alias("hash"))
     bit = F.shiftrightunsigned("hash", 64 - bits)
-    words = items.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 31 as int))")).alias("on"))
+    words = both.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 31 as int))")).alias("on"))
     found = words.toArrow()  # at most 2**BITS / 32 rows
     out = np.zeros(1 << (bits - 5), "<u4")
     out[found["word"].to_numpy()] = found["on"].to_numpy().astype(np.uint32)
     return bits, out.tobytes()
 
 
+def consistent(stretch_classes: DataFrame, item_classes: DataFrame) -> DataFrame:
+    """(key, item_id, n_items, n_matched): the classes of stretches that have a consistent run of an item, and the longest such run's."""
+    opened = lambda df, names: df.select(*names, "form", F.posexplode("windows").alias("pos", "w"))
+    of_item = opened(item_classes, ["key", "item_id", "n_items"]).select("form", F.col("key").alias("item"), "item_id", "n_items", F.col("pos").alias("_pos"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("_slots"))
+    joined = opened(stretch_classes, ["key"]).select("key", "form", "pos", "w.hash", "w.strong", "w.slots").join(of_item, ["form", "hash"]).filter(F.size("slots") == F.size("_slots"))
+    occurrence = ["key", "item", F.col("pos") - F.col("_pos")]
+    in_row = F.col("pos") - F.row_number().over(Window.partitionBy(*occurrence).orderBy("pos"))
+    runs_ = joined.withColumn("_run", in_row).withColumn("_shift", occurrence[2])
+    pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
+    judged = runs_.groupBy("key", "item", "_shift", "_run").agg(
+        F.max("strong").alias("strong"), F.count(F.lit(1)).alias("n_matched"), F.first("item_id").alias("item_id"), F.first("n_items").alias("n_items"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    )
+    one_to_one = (F.size(F.array_distinct("pairs.a")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.b")) == F.size("pairs"))
+    longest = judged.filter(F.col("strong") & one_to_one).groupBy("key").agg(F.min(F.struct((-F.col("n_matched")).alias("less"), "item_id", "n_items")).alias("best"))
+    return longest.select("key", "best.item_id", "best.n_items", (-F.col("best.less")).alias("n_matched"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(uid, item_id, kind, n_matched, n_windows): the items that each of (uid, text) holds."""
-    spark = docs.sparkSession
-    items = checkpoint(template_windows(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("uid"), "text")))
-    least = items.groupBy("form", "content").agg(F.min("uid").alias("uid"))
-    items = items.join(least, ["form", "content", "uid"], "left_semi").dropDuplicates(["uid", "form", "content", "pos"])
-    items = checkpoint(items)
+    """(uid, item_id, kind, n_matched, n_items) of the contaminated among (uid, text)."""
+    items = checkpoint(stretches(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("uid"), "text")))
+    # an item has one stretch for each form, which is its class
+    classes = items.groupBy("form", "key").agg(F.min("uid").alias("item_id"), F.count_distinct("uid").alias("n_items"), F.first("windows").alias("windows"))
+    hashed = items.select("uid", "form", F.explode("windows").alias("w")).select("uid", "form", "w.hash")
+    exact_items = hashed.filter(F.col("form") == EXACT).groupBy("hash").agg(F.min("uid").alias("item_id"), F.count_distinct("uid").alias("n_items"))
     sizes = {}
-    for form, size in sorted(items.select("form", "size").distinct().collect()):  # at most WINDOW for each form
+    for form, size in sorted(items.select("form", "size").distinct().collect()):  # at most RUN for each form
         sizes.setdefault(form, []).append(size)
-    found = template_windows(docs, sizes, bitmap_of(items, items.count()))
-    of_item = items.select("form", "hash", F.col("uid").alias("item_id"), F.col("pos").alias("_pos"), F.col("slots").alias("_slots"), "n_windows", "content", "strong")
-    joined = found.select("uid", "form", "hash", "pos", "slots").join(of_item, ["hash", "form"]).filter(F.size("slots") == F.size("_slots"))
-    key = ["uid", "item_id", "form", "content", "_shift"]
-    joined = joined.withColumn("_shift", F.col("pos") - F.col("_pos"))
-    # of each window of an occurrence once, and again among those that are not weak and those without slots; its slots as pairs (of the item, of the text)
-    pairs = F.arrays_zip(F.col("_slots").alias("a"), F.col("slots").alias("b"))
-    sets = F.when(F.size("pairs") == 0, F.array(F.lit(ALL), F.lit(STRONG), F.lit(SLOTLESS))).when(F.col("strong"), F.array(F.lit(ALL), F.lit(STRONG))).otherwise(F.array(F.lit(ALL)))
-    once = joined.select(*key, "_pos", "n_windows", "strong", pairs.alias("pairs")).withColumn("_set", F.explode(sets))
-    # windows at most WINDOW apart touch, so that their words are in a row
-    in_set = Window.partitionBy(*key, "_set").orderBy("_pos")
-    gap = F.col("_pos") - F.lag("_pos").over(in_set) > WINDOW
-    once = once.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    once = checkpoint(once.withColumn("_run", F.sum("_gap").over(in_set)).drop("_gap"))
-    run = [*key, "_set", "_run"]
-    slots = once.filter(F.size("pairs") > 0).select(*run, F.explode("pairs").alias("p")).groupBy(*run, F.col("p.a").alias("a")).agg(F.min("p.b").alias("low"), F.max("p.b").alias("high"))
-    judged = slots.groupBy(*run).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("conflict"), F.max(((F.col("low") != F.col("a")) | (F.col("high") != F.col("a"))).cast("int")).alias("changed"))
-    lengths = once.groupBy(*run).agg((F.max("_pos") - F.min("_pos") + 1).cast("long").alias("n"), F.max("n_windows").alias("n_windows"), F.max("strong").alias("strong"))
-    consistent = lengths.filter("strong").join(judged, run, "left").filter(F.coalesce("conflict", F.lit(0)) == 0)
-    # a run without slots speaks for an item only where the slots around it conflict
-    changed = F.when(F.col("_set") == SLOTLESS, 1).otherwise(F.coalesce("changed", F.lit(0)))
-    enough = consistent.filter(F.col("n") >= F.least(F.lit(LEAST_RUN - WINDOW + 1), F.col("n_windows"))).withColumn("changed", changed)
-    # of an item's forms and runs the one without a change, else with more windows, speaks for it
-    best = enough.groupBy("uid", "item_id").agg(F.min(F.struct("changed", (-F.col("n")).alias("less"), "n_windows")).alias("best"))
-    return best.select("uid", "item_id", F.when(F.col("best.changed") == 1, "reparameterised").otherwise("verbatim").alias("kind"), (-F.col("best.less")).alias("n_matched"), "best.n_windows")
+    every = hashed.select("hash").distinct()
+    found = checkpoint(stretches(docs, sizes, bitmap_of(every, every.count())))
+    verbatim = found.filter(F.col("form") == EXACT).select("uid", F.explode("windows.hash").alias("hash")).join(exact_items, "hash")
+    verbatim = checkpoint(verbatim.groupBy("uid").agg(F.min(F.struct("n_items", "item_id")).alias("best"), F.count(F.lit(1)).alias("n_matched")).select("uid", "best.item_id", F.lit("verbatim").alias("kind"), "n_matched", "best.n_items"))
+    other = found.filter(F.col("form") != EXACT).join(verbatim.select("uid"), "uid", "left_anti")
+    verdicts = consistent(other.groupBy("form", "key").agg(F.first("windows").alias("windows")), classes.filter(F.col("form") != EXACT))
+    changed = other.select("uid", "key").join(verdicts, "key").groupBy("uid").agg(F.min(F.struct((-F.col("n_matched")).alias("less"), "item_id", "n_items")).alias("best"))
+    return verbatim.unionByName(changed.select("uid", "best.item_id", F.lit("reparameterised").alias("kind"), (-F.col("best.less")).alias("n_matched"), "best.n_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
