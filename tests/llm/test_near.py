@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import DOCS, LONG, NEAR, docs, write
 
@@ -69,19 +70,96 @@ def test_large_group_without_pairs(spark):
     assert got == brute(rows)
 
 
-def test_depth():
-    k = near.depth_for()
+def test_floor():
+    k = near.floor_for()
     assert 1 - (1 - 0.8**k) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** near.TREES
 
 
+def signed(rows):
+    """Paths of (uid, text) as tuples by tree."""
+    out = {}
+    for uid, text in rows:
+        hashed, first = near.shingles(*near.utf8(pa.array([text])))
+        if len(hashed):
+            sign = near.signatures(hashed, first)[0].astype("<u2").reshape(near.TREES, near.DEPTH)
+            out[uid] = [tuple(p) for p in sign.tolist()]
+    return out
+
+
+def shared(a, b):
+    return next((k for k in range(near.DEPTH) if a[k] != b[k]), near.DEPTH)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_longest_prefixes_in_sorted_tries(spark, buckets):
+    """Against all pairs of paths; with many buckets also across their edges."""
+    rows = corpus()
+    paths = signed(rows)
+    frame = near.profiles(spark.createDataFrame(rows, "uid long, text string")).filter("paths is not null")
+    got = {(r.tree, r.uid): r.longest for r in near.matched_paths(near.opened_paths(frame), 4, buckets).collect()}
+    want = {}
+    for t in range(near.TREES):
+        for a, b in itertools.combinations(paths, 2):
+            n = shared(paths[a][t], paths[b][t])
+            if n >= 4:
+                want[t, a], want[t, b] = max(n, want.get((t, a), 0)), max(n, want.get((t, b), 0))
+    assert got == want
+
+
+def test_prefixes_are_shortened_for_each_text(spark, monkeypatch):
+    """Texts whose neighbours are all met in many trees keep the whole length; those with a neighbour met in few, or none, go on."""
+    rng, base = random.Random(8), [f"w{i}" for i in range(400)]
+    close = [" ".join([*base[: 30 * k], f"own{k}", *base[30 * k + 1 :]]) for k in range(12)]
+    other = [f"v{i}" for i in range(300)]
+    far = [" ".join(edited(rng, other, 0.02)) for _ in range(12)]
+    rows = list(enumerate(close + far + ["all alone in this small corpus of texts"]))
+    seen, real = [], near.lengths_of
+    monkeypatch.setattr(near, "lengths_of", lambda *a: (seen.append(real(*a)), seen[0])[1])
+    got = {r.uid: (r.class_id, r.n_links) for r in near.near_classes(spark.createDataFrame(rows, "uid long, text string")).collect()}
+    assert got == brute(rows)
+    lengths = {r.uid: r.length for r in seen[0].collect()}
+    assert {u for u in range(12) if lengths.get(u) == near.DEPTH} == set(range(12)) and 24 not in lengths
+    assert any(u not in lengths or lengths[u] < near.DEPTH for u in range(12, 24))
+
+
+def test_recall_at_the_limit(spark):
+    """Every text has neighbours just at the similarity wanted; queries are the ids divisible by 20, against all rows."""
+    rng, rows = random.Random(9), []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(94)]  # 90 shingles; ten lost and ten gained leave 80 of 100
+        for _ in range(4):
+            cut = list(base)
+            for at in rng.sample(range(5, 89), 1):
+                cut[at] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(cut))
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    got = {r.uid: r.n_links for r in near.near_classes(spark.createDataFrame(rows, "uid long, text string")).collect()}
+    asked = [u for u in want if u % 20 == 0]
+    assert sum(want[u][1] for u in asked) > 10
+    assert sum(got[u] for u in asked) >= 0.99 * sum(want[u][1] for u in asked)
+    assert sum(got.values()) >= 0.999 * sum(n for _, n in want.values())
+
+
+def test_chains_cost_their_links_only(spark, monkeypatch):
+    """A corpus that is one chain: each text is alike to the next few. What is verified grows with the links, not with the square."""
+    words = [f"w{i}" for i in range(1600)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 200])) for k in range(175)]
+    listed, real = [], near.verify
+    monkeypatch.setattr(near, "verify", lambda m: (listed.append(m.select("key", "uid").distinct().groupBy("key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]), real(m))[1])
+    got = {r.uid: (r.class_id, r.n_links) for r in near.near_classes(spark.createDataFrame(rows, "uid long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and {c for c, _ in got.values()} == {0}
+    assert listed[0] < 40 * len(rows) < len(rows) ** 2 / 2 * 0.5
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000, np.uint64)
     b = np.concatenate((a[:800], rng.integers(0, 1 << 63, 200, np.uint64)))
     sign = near.signatures(np.concatenate((a, b)), np.array([0, 1000, 2000]))
-    flat = near.sketches(sign)
-    flat = np.pad(flat, ((0, 0), (0, flat.shape[1] % 2))).view(np.uint16)
-    assert abs(near.alike(flat[:1], flat[1:])[0, 0] - 800 / 1200) < 0.15 and near.alike(flat[:1], flat[:1])[0, 0] == 1
+    one, two = np.unpackbits(near.sketches(sign), axis=1)[:, : 2 * near.TREES * near.DEPTH].reshape(2, -1, 2)
+    assert abs(1 - 4 / 3 * (one != two).any(1).mean() - 800 / 1200) < 0.15
 
 
 def test_representatives(spark):
