@@ -91,7 +91,7 @@ def with_uid(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if found["n"] == found["present"] and not most:
         return df.withColumn("uid", F.col(id_col).cast("long"))
     # the beginning of a text orders most of what has one id, a digest the rest
-    keys = {"_uid_head": F.left(text_col, F.lit(64)), "_uid_digest": F.xxhash64(text_col), "_uid_place": F.monotonically_increasing_id()}
+    keys = {"_uid_head": F.left(text_col, F.lit(256)), "_uid_digest": F.xxhash64(text_col), "_uid_place": F.monotonically_increasing_id()}
     order = [F.col(id_col).asc_nulls_first(), F.col("_uid_head").asc_nulls_first(), "_uid_digest", "_uid_place"]
     parts = checkpoint(
         df.withColumns(keys)

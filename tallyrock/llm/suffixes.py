@@ -5,18 +5,18 @@ or earlier in the same text. Matches are within one text each and are judged on
 
 1. Every window of ``LENGTH`` bytes has an anchor, the least of its ``GRAM``-byte grams by hash; windows in a row with one
    anchor make a segment. Equal windows have equal grams at equal places as anchors, so only segments of one anchor gram can
-   share windows. The sparse suffixes (anchor gram, segment, place) are range-partitioned by sampled splitters, each bucket
-   is sorted by multikey quicksort, and of equal segments all but the first are repeats. A segment that is the only one of
-   its gram is done; others, and those at a bucket's edge, are contested. This leaves the few suffixes that begin near a
-   difference.
-2. The bytes of contested segments are range-partitioned by anchor gram; in a bucket all their suffixes are sorted likewise, by
-   their leading bytes and a hash of their ``LENGTH`` bytes, and one equal to the suffix before it is a repeat. Of grams with more
-   than ``FREQUENT`` contested segments the suffixes themselves are range-partitioned, and the first of a bucket is compared
-   with the last of the bucket before.
+   share windows. The suffixes that begin at anchors are range-partitioned by their leading bytes, by splitters that Spark
+   samples; each bucket is sorted by multikey quicksort, eight bytes at a time and runs of ties only, through the gram and then by
+   the segment's length and hash. Of equal segments all but the first are repeats. A segment that is the only one of its gram is
+   done; others, and those at a bucket's edge, are contested. This leaves the few suffixes that begin near a difference.
+2. The bytes of contested segments are range-partitioned by the leading ``LEAD`` bytes of their gram; in a bucket all their suffixes
+   are sorted by multikey quicksort on their ``LENGTH`` bytes, and one equal to the suffix before it, byte by byte, is a repeat. Of leads
+   with more than ``FREQUENT`` contested segments the suffixes themselves are range-partitioned by their bytes, and the first of a
+   bucket is compared with the last of the bucket before.
 3. Repeats give intervals, which meet their texts by a join and are cut out.
 
-So a frequent gram or suffix is spread over as many buckets as its rows need, since ties are split by place. Two 64-bit hashes,
-of the gram or the leading bytes and of the whole, stand for the strings compared.
+So a frequent gram or suffix is spread over as many buckets as its rows need, since ties are split by place. Only in the first step
+a 64-bit hash stands for bytes: those of a segment beyond its gram, which are equal in ``GRAM`` bytes and in length.
 
 Null texts are empty; texts below ``LENGTH`` bytes lose nothing; of equal rows the later loses all of it; an empty table gives
 an empty result; other columns are ignored by ``repeats`` and kept by ``deduplicated``.
@@ -24,7 +24,7 @@ an empty result; other columns are ignored by ``repeats`` and kept by ``deduplic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +35,33 @@ from pyspark.sql import types as T
 
 from .common import Staged, checkpoint, chunks, free_shuffles, hashes, sums, table, utf8, with_uid
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, LEAD = 100, 32, 16
 #: Bytes of text whose sparse suffixes, and contested suffixes, a bucket should have.
 TEXT_PER_BUCKET, SUFFIXES_PER_BUCKET = 24 << 20, 1 << 20
-#: Contested segments of a gram that one bucket compares.
+#: Contested segments of a lead that one bucket compares.
 FREQUENT = 4096
 LOW = np.uint64(0xFFFFFFFF)
+#: Bytes that a sort takes at a time, and the columns of a gram.
+WORD = 8
+WORDS = [f"w{k}" for k in range(GRAM // WORD)]
+LEADS = WORDS[: LEAD // WORD]
+
+
+def word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The WORD bytes at each place as a number; numbers have the order of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(WORD):
+        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text, first and last window, anchor hash and content hash of each segment of texts."""
+    """Text, first and last window, content hash, and the words of the anchor gram, of each segment of texts."""
     size = np.diff(offsets)
     counts = np.maximum(size - LENGTH + 1, 0)
     total = int(counts.sum())
     if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(4 + len(WORDS)))
     prefix = sums(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = hashes(prefix, at, at + GRAM)
@@ -67,57 +79,82 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], total) - 1
     lo, hi, text = window[first], window[last], owner[first]
     content = hashes(prefix, lo, hi + LENGTH) + (hi - lo).astype(np.uint64)
-    return text, lo - offsets[text], hi - offsets[text], gram[anchor[first]].view(np.int64), content.view(np.int64)
+    return text, lo - offsets[text], hi - offsets[text], content.view(np.int64), *(word(data, anchor[first] + WORD * k) for k in range(len(WORDS)))
+
+
+SPARSE = ", ".join(f"{c} long" for c in (*WORDS, "b", "uid", "place"))
 
 
 def sparse_suffixes(docs: DataFrame) -> DataFrame:
-    """(a, b, uid, place) of (uid, text): anchor and content hash, and first << 32 | last window of each segment."""
+    """SPARSE of (uid, text): the words of the anchor gram, content hash, and first << 32 | last window of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
-                text, lo, hi, anchor, content = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(uid[i:j][text]), pa.array(lo << 32 | hi)], names=["a", "b", "uid", "place"])
-
-    return docs.select("uid", "text").mapInArrow(run, "a long, b long, uid long, place long")
-
-
-def multikey_sort(*keys: np.ndarray) -> np.ndarray:
-    """The order of rows by several keys: by the first, then each run of equal rows by the next, until no run is left."""
-    order = np.argsort(keys[0], kind="quicksort")
-    run = np.zeros(len(order), np.int64)  # number of the run that each ordered row is in
-    for k, key in enumerate(keys):
-        if k:
-            part = np.lexsort((key[order[tied]], run[tied]))
-            order[tied] = order[tied][part]
-        change = np.ones(len(order), bool)
-        change[1:] = keys[k][order[1:]] != keys[k][order[:-1]]
-        change[1:] |= run[1:] != run[:-1]
-        run = np.cumsum(change)
-        alone = change & np.append(change[1:], True)
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
+                text, lo, hi, content, *gram = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, gram), pa.array(content), pa.array(uid[i:j][text]), pa.array(lo << 32 | hi)], names=[*WORDS, "b", "uid", "place"])
+
+    return docs.select("uid", "text").mapInArrow(run, SPARSE)
+
+
+Key = Callable[[np.ndarray], np.ndarray]
+
+
+def multikey_sort(n: int, keys: list[Key]) -> np.ndarray:
+    """The order of n rows by several keys, functions of row numbers: by the first, then each run of equal rows by the next, until no
+    run is left. A key is asked for rows of such runs only."""
+    order = np.arange(n)
+    tied, run = np.arange(n), np.zeros(n, np.int64)
+    for key in keys:
+        if len(tied) < 2:
             break
+        rows = order[tied]
+        values = key(rows)
+        part = np.lexsort((values, run))
+        order[tied], values = rows[part], values[part]
+        change = np.ones(len(tied), bool)
+        change[1:] = (values[1:] != values[:-1]) | (run[1:] != run[:-1])
+        more = ~(change & np.append(change[1:], True))
+        tied, run = tied[more], np.cumsum(change)[more]
     return order
 
 
+def equal_to_previous(order: np.ndarray, keys: list[Key]) -> np.ndarray:
+    """Which of the ordered rows have the keys of the row before."""
+    at = np.arange(1, len(order))
+    for key in keys:
+        at = at[key(order[at]) == key(order[at - 1])]
+    out = np.zeros(len(order), bool)
+    out[at] = True
+    return out
+
+
+def columns(*values: np.ndarray) -> list[Key]:
+    return [v.__getitem__ for v in values]
+
+
+def byte_words(data: np.ndarray, at: np.ndarray) -> list[Key]:
+    """The LENGTH bytes at each place, word by word; the last word ends with the last byte."""
+    return [lambda rows, k=k: word(data, at[rows] + k) for k in (*range(0, LENGTH - WORD, WORD), LENGTH - WORD)]
+
+
 def bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
     held = [b for b in batches if b.num_rows]
     return [np.concatenate([b.column(c).to_numpy() for b in held]) if held else np.zeros(0, np.int64) for c in names]
 
 
 def judged_segments(sparse: DataFrame, buckets: int) -> DataFrame:
-    """(a, uid, lo, hi, contested): repeated segments, and those whose windows must be compared one by one."""
+    """(w0, w1, uid, lo, hi, contested): repeated segments, and those whose windows must be compared one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, uid, place = bucket(batches, ["a", "b", "uid", "place"])
-        if not len(a):
+        *gram, b, uid, place = bucket(batches, [*WORDS, "b", "uid", "place"])
+        if not len(b):
             return
-        order = multikey_sort(a, b, uid, place)
-        a, b, uid, place = a[order], b[order], uid[order], place[order]
-        same_gram = np.concatenate(([False], a[1:] == a[:-1]))
+        order = multikey_sort(len(b), columns(*gram, b, uid, place))
+        same_gram = equal_to_previous(order, columns(*gram))
+        b, uid, place = b[order], uid[order], place[order]
         repeat = same_gram & np.concatenate(([False], b[1:] == b[:-1]))
         # a gram is contested if it has different segments, or more of it may be in another bucket
         group = np.cumsum(~same_gram) - 1
@@ -126,14 +163,16 @@ def judged_segments(sparse: DataFrame, buckets: int) -> DataFrame:
         varied[[0, -1]] = True
         contested = ~repeat & varied[group]
         out = repeat | contested
-        yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(uid[out]), pa.array(place[out] >> 32), pa.array(place[out] & 0xFFFFFFFF), pa.array(contested[out])], names=["a", "uid", "lo", "hi", "contested"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(g[order[out]]) for g in gram[: len(LEADS)]), pa.array(uid[out]), pa.array(place[out] >> 32), pa.array(place[out] & 0xFFFFFFFF), pa.array(contested[out])], names=[*LEADS, "uid", "lo", "hi", "contested"])
 
-    return sparse.repartitionByRange(buckets, "a", "b", "uid", "place").mapInArrow(run, "a long, uid long, lo long, hi long, contested boolean")
+    schema = ", ".join(f"{c} long" for c in (*LEADS, "uid", "lo", "hi")) + ", contested boolean"
+    return sparse.repartitionByRange(buckets, *WORDS, "b", "uid", "place").mapInArrow(run, schema)
 
 
 def contested_bytes(docs: DataFrame, contested: DataFrame) -> DataFrame:
-    """(a, frequent, uid, lo, bytes) of contested segments: all bytes of their windows."""
-    listed = contested.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "a", "frequent")).alias("spans"))
+    """(w0, w1, frequent, uid, lo, bytes) of contested segments: all bytes of their windows."""
+    listed = contested.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", *LEADS, "frequent")).alias("spans"))
+    names = [*LEADS, "frequent", "uid", "lo", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,36 +182,28 @@ def contested_bytes(docs: DataFrame, contested: DataFrame) -> DataFrame:
             data, offsets = utf8(batch.column(2))
             row = np.repeat(np.arange(len(count)), count)
             own = [data[x : y + LENGTH].tobytes() for x, y in zip(offsets[row] + lo, offsets[row] + hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([spans.field(2), spans.field(3), uid.take(pa.array(row)), pa.array(lo), pa.array(own, pa.binary())], names=["a", "frequent", "uid", "lo", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(spans.field(k) for k in range(2, 3 + len(LEADS))), uid.take(pa.array(row)), pa.array(lo), pa.array(own, pa.binary())], names=names)
 
     found = listed.join(docs.select("uid", "text"), "uid").select("uid", "spans", "text")
-    return found.mapInArrow(run, "a long, frequent boolean, uid long, lo long, bytes binary")
-
-
-def expand(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
-    """Leading bytes, hash, uid and start of the suffixes of rows (.., uid, lo, bytes)."""
-    uid, lo = (batch.column(c).to_numpy() for c in ("uid", "lo"))
-    raw = batch.column("bytes")
-    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
-    data, offsets = utf8(pa.Array.from_buffers(pa.large_string(), len(raw), raw.cast(pa.large_binary()).buffers(), offset=raw.cast(pa.large_binary()).offset))
-    out = []
-    for i, j in chunks(offsets):
-        part, begin = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i]
-        count = np.diff(offsets[i : j + 1]) - LENGTH + 1
-        row = np.repeat(np.arange(j - i), count)
-        shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place, prefix = begin[row] + shift, sums(part)
-        lead = np.zeros(len(place), np.uint64)
-        for k in range(8):
-            lead = lead << np.uint64(8) | part[place + k].astype(np.uint64)
-        # the sign bit is turned, so that signed numbers have the order of the bytes
-        out.append(((lead ^ np.uint64(1 << 63)).view(np.int64), hashes(prefix, place, place + LENGTH).view(np.int64), uid[i:j][row], lo[i:j][row] + shift))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
-
-
-def repeated_runs(a: np.ndarray, b: np.ndarray, uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    return found.mapInArrow(run, ", ".join(f"{c} long" for c in LEADS) + ", frequent boolean, uid long, lo long, bytes binary")
+
+
+def expand(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """The bytes of rows (.., uid, lo, bytes), and of each suffix of LENGTH bytes its place in them, uid and start."""
+    t = pa.Table.from_batches(batches)
+    uid, lo = (t.column(c).to_numpy() for c in ("uid", "lo"))
+    raw = t.column("bytes").cast(pa.large_binary()).combine_chunks()
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    count = np.diff(ends) - LENGTH + 1
+    row = np.repeat(np.arange(len(raw)), count)
+    shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.frombuffer(data, np.uint8), ends[row] + shift, uid[row], lo[row] + shift
+
+
+def repeated_runs(again: np.ndarray, uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of sorted suffixes: uid, first and last start of the runs of starts at which a suffix equals the one before it."""
-    at = np.flatnonzero(np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    at = np.flatnonzero(again)
     at = at[np.lexsort((place[at], uid[at]))]
     begins = np.ones(len(at), bool)
     begins[1:] = (uid[at[1:]] != uid[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)
@@ -181,26 +212,33 @@ def repeated_runs(a: np.ndarray, b: np.ndarray, uid: np.ndarray, place: np.ndarr
 
 
 def judged_within(segments_: DataFrame, buckets: int) -> DataFrame:
-    """(uid, lo, hi): suffixes that equal an earlier one, of grams that are whole in a bucket."""
+    """(uid, lo, hi): suffixes that equal an earlier one, of leads that are whole in a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            keys = expand(pa.Table.from_batches(held))
-            order = multikey_sort(*keys)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, repeated_runs(*(k[order] for k in keys)))], names=["uid", "lo", "hi"])
+            data, at, uid, place = expand(held)
+            keys = byte_words(data, at)
+            order = multikey_sort(len(at), [*keys, *columns(uid, place)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, repeated_runs(equal_to_previous(order, keys), uid[order], place[order]))], names=["uid", "lo", "hi"])
 
-    return segments_.repartitionByRange(buckets, "a").mapInArrow(run, "uid long, lo long, hi long")
+    return segments_.repartitionByRange(buckets, *LEADS).mapInArrow(run, "uid long, lo long, hi long")
 
 
 def suffixes(segments_: DataFrame) -> DataFrame:
-    """(a, b, uid, place): leading bytes, hash and start of the suffixes of segments."""
+    """(bytes, uid, place): the suffixes of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, expand(batch))], names=["a", "b", "uid", "place"])
+            if not batch.num_rows:
+                continue
+            data, at, uid, place = expand([batch])
+            for i in range(0, len(at), 1 << 15):
+                rows = data[at[i : i + (1 << 15), None] + np.arange(LENGTH)]
+                edges = pa.py_buffer((np.arange(len(rows) + 1) * LENGTH).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, edges, pa.py_buffer(np.ascontiguousarray(rows))]), pa.array(uid[i : i + (1 << 15)]), pa.array(place[i : i + (1 << 15)])], names=["bytes", "uid", "place"])
 
-    return segments_.mapInArrow(run, "a long, b long, uid long, place long")
+    return segments_.mapInArrow(run, "bytes binary, uid long, place long")
 
 
 def judged_suffixes(all_suffixes: DataFrame, buckets: int) -> DataFrame:
@@ -208,22 +246,24 @@ def judged_suffixes(all_suffixes: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        a, b, uid, place = bucket(batches, ["a", "b", "uid", "place"])
-        if not len(a):
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        order = multikey_sort(a, b, uid, place)
-        a, b, uid, place = a[order], b[order], uid[order], place[order]
-        owner, first, last = repeated_runs(a, b, uid, place)
-        n = len(first)
+        data = np.frombuffer(b"".join(v for b in held for v in b.column("bytes").to_pylist()), np.uint8)
+        uid, place = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("uid", "place"))
+        keys = byte_words(data, np.arange(len(uid)) * LENGTH)
+        order = multikey_sort(len(uid), [*keys, *columns(uid, place)])
+        owner, first, last = repeated_runs(equal_to_previous(order, keys), uid[order], place[order])
+        n, edge = len(first), [data[k * LENGTH : (k + 1) * LENGTH].tobytes() for k in order[[0, -1]]]
         # the last row is the bucket's edge: its first suffix, to be judged, and its last one
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(owner, uid[0])), pa.array(np.append(first, place[0])), pa.array(np.append(last, place[0])), pa.array([None] * n + [number], pa.int32()), pa.array([None] * n + [[int(a[0]), int(b[0]), int(a[-1]), int(b[-1])]], pa.list_(pa.int64()))],
+            [pa.array(np.append(owner, uid[order[0]])), pa.array(np.append(first, place[order[0]])), pa.array(np.append(last, place[order[0]])), pa.array([None] * n + [number], pa.int32()), pa.array([None] * n + [edge], pa.list_(pa.binary()))],
             names=["uid", "lo", "hi", "bucket", "edge"],
         )
 
-    found = checkpoint(all_suffixes.repartitionByRange(buckets, "a", "b", "uid", "place").mapInArrow(run, "uid long, lo long, hi long, bucket int, edge array<long>"))
-    edges = sorted((r["bucket"], *r["edge"]) for r in found.filter("bucket is not null").select("bucket", "edge").collect())  # a row per bucket
-    again = [later[0] for before, later in zip(edges, edges[1:], strict=False) if before[3:] == later[1:3]]
+    found = checkpoint(all_suffixes.repartitionByRange(buckets, "bytes", "uid", "place").mapInArrow(run, "uid long, lo long, hi long, bucket int, edge array<binary>"))
+    edges = sorted((r["bucket"], *map(bytes, r["edge"])) for r in found.filter("bucket is not null").select("bucket", "edge").collect())  # a row per bucket
+    again = [later[0] for before, later in zip(edges, edges[1:], strict=False) if before[2] == later[1]]
     return found.filter(F.col("bucket").isNull() | F.col("bucket").isin(again)).select("uid", "lo", "hi")
 
 
@@ -234,11 +274,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     judged = out.put(judged_segments(sparse_suffixes(docs), max(least, -(-size // TEXT_PER_BUCKET))), "segments")
     free_shuffles(spark)
-    contested = judged.filter("contested").select("a", "uid", "lo", "hi")
-    counts = contested.groupBy("a").agg((F.count(F.lit(1)) > FREQUENT).alias("frequent"))
+    contested = judged.filter("contested").select(*LEADS, "uid", "lo", "hi")
+    counts = contested.groupBy(*LEADS).agg((F.count(F.lit(1)) > FREQUENT).alias("frequent"))
     n = contested.agg(F.sum(F.expr("hi - lo + 1"))).first()[0] or 0
     buckets = max(least, -(-n // SUFFIXES_PER_BUCKET))
-    held = out.put(contested_bytes(docs, contested.join(counts, "a")), "bytes")
+    held = out.put(contested_bytes(docs, contested.join(counts, LEADS)), "bytes")
     free_shuffles(spark)
     single = judged_within(held.filter("not frequent"), buckets).unionByName(judged_suffixes(suffixes(held.filter("frequent")), buckets))
     spans = judged.filter("not contested").select("uid", "lo", "hi").unionByName(single)

@@ -65,8 +65,22 @@ def test_awkward_rows(spark):
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]
-    assert suffixes.multikey_sort(*keys).tolist() == np.lexsort(keys[::-1]).tolist() or all((k[suffixes.multikey_sort(*keys)] == k[np.lexsort(keys[::-1])]).all() for k in keys)
-    assert suffixes.multikey_sort(np.array([3, 1, 2])).tolist() == [1, 2, 0] and len(suffixes.multikey_sort(np.zeros(0))) == 0
+    order, want = suffixes.multikey_sort(500, suffixes.columns(*keys)), np.lexsort(keys[::-1])
+    assert all((k[order] == k[want]).all() for k in keys)
+    again = suffixes.equal_to_previous(order, suffixes.columns(*keys))
+    assert again.tolist() == [False] + [all(k[want[i]] == k[want[i - 1]] for k in keys) for i in range(1, 500)]
+    assert suffixes.multikey_sort(3, suffixes.columns(np.array([3, 1, 2]))).tolist() == [1, 2, 0] and len(suffixes.multikey_sort(0, suffixes.columns(np.zeros(0)))) == 0
+
+
+def test_suffixes_are_sorted_by_their_bytes():
+    rng = random.Random(5)
+    raw = bytes(rng.choice([0, 1, 127, 128, 255]) for _ in range(700)) + b"same" * 100
+    data, at = np.frombuffer(raw, np.uint8), np.arange(len(raw) - suffixes.LENGTH + 1)
+    keys = suffixes.byte_words(data, at)
+    order = suffixes.multikey_sort(len(at), keys)
+    strings = [raw[k : k + suffixes.LENGTH] for k in at[order]]
+    assert strings == sorted(strings)
+    assert suffixes.equal_to_previous(order, keys).tolist() == [k > 0 and strings[k] == strings[k - 1] for k in range(len(strings))]
 
 
 def test_merged():
