@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score. JVM only.
 
 Base kinds (email, ip, card, phone) count whenever their validator holds. Scored kinds (iban, id_number, local_phone) start
-from a prior, gain from a checksum and from a context word shortly before them, and count from ``THRESHOLD`` on.
+from a prior, gain from a checksum and from a context word shortly before them, lose by a word there that speaks against personal
+data, and count from ``THRESHOLD`` on: a valid iban needs no context but for such a word, the others need one and no such word.
 
 A span's place follows from the lengths of the pieces between matches, summed by blocks of ``BLOCK`` matches, so that a text
 with many matches costs little more than its length. Patterns take a run of characters possessively and begin at the
@@ -37,6 +38,8 @@ CONTEXT = {
     "id_number": r"(?i)(ssn|social security|security number)",
     "local_phone": r"(?i)(phone|call|tel|mobile|fax)",
 }
+#: Words that speak against personal data, and what a span loses by one.
+AGAINST, LOSS = r"(?i)(serial|model|version|order no|part no|sku|isbn|checksum)", 0.2
 CONTEXT_CHARS, THRESHOLD, BLOCK = 40, 0.7, 64
 
 
@@ -105,8 +108,9 @@ def placed(text: Column, kind: str) -> Column:
             ok = valid(kind, m)
             if kind in SCORES:
                 prior, checksum, context = SCORES[kind]
-                near = F.right(F.element_at(gaps, i + 1), F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind])
-                score = F.lit(prior) + F.when(ok, checksum).otherwise(0.0) + F.when(near, context).otherwise(0.0)
+                near = F.right(F.element_at(gaps, i + 1), F.lit(CONTEXT_CHARS))
+                score = F.lit(prior) + F.when(ok, checksum).otherwise(0.0) + F.when(near.rlike(CONTEXT[kind]), context).otherwise(0.0) - F.when(near.rlike(AGAINST), LOSS).otherwise(0.0)
+                score = F.round(score, 6)
             else:
                 score = F.when(ok, 1.0).otherwise(0.0)
             return let(at, lambda start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), ok.alias("ok"), score.cast("double").alias("score")))

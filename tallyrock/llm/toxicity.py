@@ -5,7 +5,8 @@ share what is learned; filters of several widths run over the whole text, their
 kept, and a linear layer makes a score of it. The language is guessed from frequent function words of the text itself, and
 for each guess a threshold is fitted on rows kept out of training, at which the score is 0.5.
 
-The classifier is fitted in the driver on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of doc_id.
+The classifier is fitted in the driver on at most ``TRAIN_ROWS`` labelled rows with at most ``TRAIN_BYTES`` of text, taken by the
+hash of doc_id; a text that the rest of these bytes doesn't hold is passed over.
 Rows whose crc32(doc_id as text) modulo 5 is 0 are never learned from. Scoring is one pass without a shuffle.
 
 Null or empty texts score like a text without any known word; texts of any length are taken whole; equal texts get equal
@@ -28,6 +29,7 @@ from .common import chunks, hashes, lined, lower, mix, sums, table, utf8, words
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 12
 #: Bytes of a word's beginnings that have embeddings too.
 BEGINNINGS = (4, 5)
+TRAIN_BYTES = 48 << 20
 TRAIN_ROWS, EPOCHS, BATCH, RATE, SEED = 6000, 4, 64, 0.02, 7
 #: Share of the training rows that only calibrate, and words of a text that the kernel holds at once.
 CALIBRATE, WORDS_AT_ONCE = 5, 1 << 16
@@ -218,12 +220,21 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best].mean())
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """Fits on at most so many labelled rows; labels and documents meet by a join with this bounded sample."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Classifier:
+    """Fits on at most so many labelled rows and bytes; texts meet labels by a join with this bounded sample."""
     learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     some = labels.filter(learned & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
+    # numbers only: the rows and bytes of each id, of which as many are taken as the bounds allow
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).join(F.broadcast(some), "doc_id")
+    sizes = sizes.groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    taken = []
+    for r in sizes.collect():  # at most a row for each of the sample's ids
+        if r["n"] <= rows and r["size"] <= size:
+            rows, size = rows - r["n"], size - r["size"]
+            taken.append((r["doc_id"], r["toxic"]))
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     model = Classifier()
     model.fit(found["text"].combine_chunks(), found["toxic"].to_numpy().astype(np.int64))
     return model

@@ -38,6 +38,18 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert np.array_equal(a.words, b.words) and np.array_equal(a.threshold, b.threshold)
 
 
+def test_training_is_bounded(spark, monkeypatch):
+    """Rows and bytes beyond the bounds, among them one huge text and an id that many rows have, don't reach the driver."""
+    rows = corpus(300)
+    seen = []
+    monkeypatch.setattr(toxicity.Classifier, "fit", lambda self, texts, y: seen.append((len(texts), sum(len(t) for t in texts.to_pylist()), len(y))))
+    frame = docs(spark, [*(r[:2] for r in rows), (1000, "x" * 200_000), *((1001, "many rows") for _ in range(120))])
+    all_labels = labels(spark, [(i, 1, y) for i, _, y in rows] + [(1000, 1, 1), (1001, 1, 1)])
+    toxicity.train(frame, all_labels, rows=100, size=20_000)
+    n, size, m = seen[0]
+    assert n == m and 20 < n <= 100 and size <= 20_000
+
+
 def test_one_class_and_empty(spark, tmp_path):
     d = write(spark, tmp_path, documents=docs(spark), labels=labels(spark, [(5, 1, 0), (7, 1, 0)]))
     assert {r.score for r in toxicity.op9_toxicity(spark, d).collect()} == {0.0}
