@@ -88,7 +88,7 @@ def link_state(code: Column | str) -> Column:
 
 
 def plain_county(c: Column | str) -> Column:
-    return trimmed(F.regexp_replace(col(c), r"(?i)^municipiul ", ""))
+    return trimmed(F.regexp_replace(col(c), rf"(?i)^municipiul{SPACE}+", ""))
 
 
 def window_start(today: str, since: Column | None = None, days: int = 10) -> Column:

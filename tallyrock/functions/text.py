@@ -61,17 +61,21 @@ def normal_title(c: Column | str) -> Column:
 
 def accent_free(c: Column | str) -> Column:
     """Lower case without accents, for comparing county names."""
-    plain = F.translate(F.lower(col(c)), "áàâãäåāăąçćčďéèêëēėęěíìîïīįłñńňóòôõöøōřśšșşťțţúùûüūůýÿźżž", "aaaaaaaaacccdeeeeeeeeiiiiiilnnnooooooorssssttt" + "uuuuuuyyzzz")
+    plain = F.translate(F.lower(col(c)), "áàâãäåāăąçćčďéèêëēėęěíìîïīįłñńňóòôõöøōřśšșşťțţúùûüūůýÿźżž", "aaaaaaaaacccdeeeeeeeeiiiiiilnnnooooooorsssstttuuuuuuyyzzz")
     return trimmed(plain)
 
 
 @cache
 def _nfkc():
-    return F.pandas_udf(lambda s: s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v)), StringType())
+    def normal(s):
+        some = s.notna()
+        return s.where(~some, None) if not some.any() else s.mask(some, s[some].map(lambda v: unicodedata.normalize("NFKC", v)))
+
+    return F.pandas_udf(normal, StringType())
 
 
 def nfkc(c: Column | str) -> Column:
-    """Unicode compatibility form. Spark has no such function; ASCII texts, which it leaves alone, don't go to Python."""
+    """Unicode compatibility form. Spark has no such function; of ASCII texts, which it leaves alone, only a null goes to Python."""
     other = F.when(matches(c, r"[^\x00-\x7F]"), col(c))
     return F.coalesce(_nfkc()(other), col(c))
 

@@ -32,16 +32,21 @@ PERSONAL_ID = rf"{EDGE}[1-8][0-9]{{12}}{EDGE}"
 SALARY = rf"^[0-9]+(\.[0-9]+)?-[0-9]+(\.[0-9]+)?{SPACE}+[A-Z]{{3}}\z"
 
 
+# Words that decide whether a listing is adult content; S stands for the white space between them.
+S = SPACE
+ADULT_STRONG_WORDS = rf"videochat|video{S}*chat|onlyfans|only{S}*fans|escort[aăe]?|masaj{S}+(?:erotic|senzual)|striptease|strip{S}*club|cam{S}*girl|webcam{S}*(?:model|studio)"
+ADULT_GENERIC_WORDS = rf"adult{S}*(?:industry|content|entertainment)|(?:industri[ae]|con[țt]inut|filme){S}+pentru{S}+adul[țt]i|xxx"
+ADULT_NEGATION_WORDS = rf"non[-{S[1:-1]}]?adult"
+ADULT_CLUB_WORDS = rf"night{S}*club|club{S}*de{S}*noapte|passion{S}*club|hostess{S}*club"
+ADULT_WEAK = ("dansatoare", "animatoare", "hostess", "masaj")
+CHILDREN = rf"(?iu)copii|zile{S}*na[sș]tere|anivers[aă]r|mascot|botez|gr[aă]dini[tț]"
+
+
 def _phrase(words: str) -> str:
-    return f"(?iu){EDGE}(?:{words}){EDGE}".replace("~*", f"{SPACE}*").replace("~+", f"{SPACE}+")
+    return f"(?iu){EDGE}(?:{words}){EDGE}"
 
 
-ADULT_STRONG = _phrase("videochat|video~*chat|onlyfans|only~*fans|escort[aăe]?|masaj~+(?:erotic|senzual)|striptease|strip~*club|cam~*girl|webcam~*(?:model|studio)")
-ADULT_GENERIC = _phrase("adult~*(?:industry|content|entertainment)|(?:industri[ae]|con[țt]inut|filme)~+pentru~+adul[țt]i|xxx")
-ADULT_NEGATION = f"(?iu){EDGE}non[-{SPACE[1:-1]}]?adult{EDGE}"
-ADULT_CLUB = _phrase("night~*club|club~*de~*noapte|passion~*club|hostess~*club")
-CHILDREN = f"(?iu)copii|zile{SPACE}*na[sș]tere|anivers[aă]r|mascot|botez|gr[aă]dini[tț]"
-ADULT_WEAK = ("dansatoare", "animatoare", "hostess", "masaj")
+ADULT_STRONG, ADULT_GENERIC, ADULT_NEGATION, ADULT_CLUB = map(_phrase, (ADULT_STRONG_WORDS, ADULT_GENERIC_WORDS, ADULT_NEGATION_WORDS, ADULT_CLUB_WORDS))
 
 AVAILABILITY, CORRECTNESS, FORMAT = "exista", "adevar", "format"
 GRAVE, MINOR, INFO = "grav", "minor", "info"

@@ -192,8 +192,9 @@ def source_counts(rows: DataFrame, today: str, since: str | None) -> DataFrame:
         n().alias("jobs"), F.count_if(~bad).alias("trusted"), F.count_if(bad).alias("affected"), F.count_if("is_new").alias("fresh"), F.count_if(F.col("is_new") & bad).alias("fresh_affected"),
         F.count_if(recent).alias("window"), F.count_if(recent & bad).alias("window_affected"), *per_question,
     )
-    whole = per_host.agg(F.sum("jobs").alias("_total"))
-    return per_host.join(whole).withColumn("pct", K.percent(F.col("affected"), F.col("jobs"))).withColumn("share", K.percent(F.col("jobs"), F.col("_total"), 1)).drop("_total")
+    # one row a host: the window over all of them is small, and reads the aggregate once
+    per_host = per_host.withColumn("_total", F.sum("jobs").over(Window.partitionBy()))
+    return per_host.withColumn("pct", K.percent(F.col("affected"), F.col("jobs"))).withColumn("share", K.percent(F.col("jobs"), F.col("_total"), 1)).drop("_total")
 
 
 def checks_by_host(rows: DataFrame) -> DataFrame:

@@ -13,17 +13,30 @@ EXONYMS = {
     "sepsiszentgyorgy": "Sfântu Gheorghe", "bistritz": "Bistrița", "beszterce": "Bistrița", "nagybanya": "Baia Mare", "szatmarnemeti": "Satu Mare",
     "gyulafehervar": "Alba Iulia", "karlsburg": "Alba Iulia", "resicabanya": "Reșița",
 }
-# Folded names of countries, and of the foreign cities that listings name most. A longer list is a parameter.
+# Folded names of foreign places: countries and regions, then cities by country.
 FOREIGN = (
     "olanda netherlands nederland tariledejos germania germany deutschland austria osterreich belgia belgium franta france italia italy spania spain portugalia portugal "
     "anglia uk unitedkingdom mareabritanie regatulunit england scotia scotland wales irlanda ireland norvegia norway suedia sweden danemarca denmark finlanda finland "
-    "elvetia switzerland cehia czechia czechrepublic slovacia slovakia ungaria hungary polonia poland bulgaria grecia greece malta cipru cyprus luxemburg luxembourg "
-    "moldova chisinau ucraina ukraine usa sua canada mexic mexico china israel emirate qatar dubai kuwait turcia turkey serbia croatia slovenia estonia letonia latvia "
-    "lituania lithuania islanda iceland japonia japan coreea australia tanzania egipt egypt maroc morocco india vietnam thailanda thailand singapore brazilia brazil "
-    "amsterdam rotterdam eindhoven utrecht milano milan roma rome torino napoli venezia praha prague bratislava berlin hamburg frankfurt munchen munich stuttgart koln "
-    "dortmund dusseldorf leipzig hannover bruxelles brussels antwerpen gent wien vienna viena salzburg graz linz zurich geneva bern basel paris lyon marseille madrid "
-    "barcelona valencia lisabona lisbon porto dublin cork cavan london londra manchester birmingham oslo stockholm copenhaga copenhagen helsinki budapesta budapest "
-    "varsovia warsaw sofia atena athens istanbul"
+    "elvetia switzerland cehia czechia czechrepublic slovacia slovakia ungaria hungary polonia poland bulgaria grecia greece malta cipru cyprus "
+    "luxemburg luxembourg luxembourgcity moldova republicofmoldova chisinau ucraina ukraine usa sua statauniteamericii canada mexic mexico cdmx mexicocity china israel "
+    "emiratelearabeunite emirate qatar dubai alkuwait kuwait arabiasaudita saudiarabia turcia turkey serbia croatia slovenia estonia letonia latvia "
+    "lituania lithuania republicoflithuania islanda iceland japonia japan coreea southkorea australia tanzania kenya egipt egypt maroc morocco "
+    "india vietnam thailanda thailand singapore brazilia brazil "
+    "amsterdam rotterdam venlo eindhoven utrecht denhaag hague thehague breda tilburg veenendaal zaltbommel losser goes arnhem rozenburg "
+    "venezia venice padova padua milano milan roma rome torino turin napoli naples firenze florence bologna trieste merano vittorioveneto "
+    "bratislava praha prague brno nitra dacice "
+    "dresden munchen munich nurnberg nurenberg berlin hamburg frankfurt stuttgart koln cologne freiburg weingarten regensburg magdeburg "
+    "dortmund erkelenz kuppenheim raunheim hofheimamtaunus altenberge gunzburg heilbronn rechlin stadthagen dingolfing hollenbach koblenz "
+    "dobeln reutlingen tubingen balingen wuppertal solingen dusseldorf lubeck pinneberg flensburg leipzig hannover bielefeld salzwedel haldensleben estulgermaniei "
+    "bruxelles brussels liege herstal antwerpen gent lommel colombes colombier blois frejus cannes paris lyon marseille "
+    "wien vienna viena salzburg graz linz innsbruck axams badgastein lungotz wals zurich geneva bern basel glattbrugg "
+    "madrid barcelona valencia sevilla benahavis lisabona lisbon porto memmartins "
+    "dublin cork galway limerick belfast ashbourne meath longford tipperary roxborough cavan "
+    "glasgow edinburgh cardiff leeds liverpool bristol london londra manchester birmingham slough hemelhempstead hertfordshire "
+    "oslo trondheim sande bergen boden gavle stockholm goteborg gothenburg malmo copenhaga copenhagen fredericia rudkobing helsinki espoo hyvinkaa "
+    "budapesta budapest abony nagykoros varsovia warsaw gdansk krakow bydgoszcz sofia plovdiv varna atena athens skalapotamias nicosia istanbul ankara "
+    "foshan shanghai beijing shenzhen hangzhou shaoxing toronto montreal newyork chicago boston seattle texas dallas dallastx jacksonville jacksonvillefl "
+    "grandrapids grandrapidsmi oakland paje zanzibar doha vilhena bengaluru chennai"
 ).split()
 # Words that name no place, and those of them that only stand in for one.
 PLACEHOLDERS = "romania all nespecificat remote hybrid onsite na null none tbd various altele oriunde tara strainatate international europa ue eu toate diverse variabil national".split()

@@ -33,8 +33,21 @@ def latin(c: str) -> str:
     return rf"CASE WHEN length({letters(c)}) < 3 THEN 1.0 ELSE length(regexp_replace({c}, '[^\p{{Latin}}]', '', 'g')) / length({letters(c)}) END"
 
 
+#: What each raw place of the sample gazetteer means, read off by hand: kind, value, how, county.
+PLACES = {
+    "Valdoria": ("fixed", "Valdoria", "exact", "Arbor"), "VALDORIA, Romania": ("fixed", "Valdoria", "exact", "Arbor"), "Str. Lunga nr. 4, Monteluna": ("fixed", "Monteluna", "exact", "Brezan"),
+    "comuna Pietralunga": ("fixed", "Pietralunga", "alias", "Brezan"), "undeva langa Monteluna in sat": ("fixed", "Monteluna", "substring", "Brezan"), "Lunca": ("fixed", "Lunca", "exact", None), "Lunca, Brezan": ("fixed", "Lunca", "exact", "Brezan"),
+    "Sector 3, București": ("fixed", "București", "sector to Bucuresti", "București"), "Bukarest": ("fixed", "București", "exact", "București"), "407123": ("fixed", "Poiana Alba", "postal-code", "Cornet"), "407124": ("junk", None, "not-a-place", None),
+    "Pietralungacentru": ("fixed", "Pietralunga", "glued qualifier", "Brezan"), "Monteluma": ("fixed", "Monteluna", "typo-fixed (distance 1)", "Brezan"), "Valdxxia": ("international", "Valdxxia", "unknown-place", None), "maresta": ("junk", None, "unrecognised", None),
+    "Bologna": ("international", "Bologna", "known-foreign", None), "kenya": ("international", "kenya", "known-foreign", None), "remote": ("junk", None, "placeholder", None), "Romania, all": ("junk", None, "placeholder", None), "": ("junk", None, "empty", None),
+    "AB-1234-XY": ("junk", None, "not-a-place", None), "Fagetel, Dorna": ("fixed", "Fagetel", "exact (county-confirmed)", "Dorna"), "Fagetol, Dorna": ("fixed", "Fagetel", "typo-fixed (county-confirmed, distance 1)", "Dorna"),
+    "Sf. Andrei": ("fixed", "Sfântu Andrei", "alias", "Cornet"), "Arbor": ("fixed", "Arbor", "exact", "Arbor"), "Monteluna": ("fixed", "Monteluna", "exact", "Brezan"),
+}
+_value = lambda v: "NULL" if v is None else f"'{v}'"
+CASES = "places(raw, loc_kind, loc_value, loc_how, loc_county) AS (VALUES " + ", ".join(f"({', '.join(map(_value, (k, *v)))})" for k, v in PLACES.items()) + ")"
+PLACE_CLASS = "CASE WHEN loc_kind = 'fixed' THEN CASE WHEN coalesce(loc_county, '') <> '' THEN 'placed' ELSE 'ambiguous' END WHEN loc_kind = 'international' THEN 'foreign' WHEN loc_how IN ('empty', 'placeholder') THEN loc_how ELSE 'gibberish' END"
 BASE = f"""
-listed AS ({LISTINGS}), company AS ({COMPANIES}),
+{CASES}, listed AS ({LISTINGS}), company AS ({COMPANIES}),
 catalog AS (SELECT regexp_replace(id, '^0+', '') AS key, max(id) AS id, max(company) AS name, max(status) AS status FROM company GROUP BY 1),
 keyed AS (SELECT *, CASE WHEN url LIKE 'https://%' THEN regexp_extract(url, '^https://www\\.([^/]+)', 1) ELSE '{INVALID_HOST}' END AS host,
   regexp_replace(regexp_replace(regexp_replace(cif, '^[rR][oO]', ''), '[^0-9]', '', 'g'), '^0+', '') AS cif_key,
@@ -42,9 +55,9 @@ keyed AS (SELECT *, CASE WHEN url LIKE 'https://%' THEN regexp_extract(url, '^ht
   {trim(rf"regexp_replace(lower(replace(title, '&amp;', '&')), '{SPACES}+', ' ', 'g')")} AS ntitle,
   CASE WHEN doc_id % 3 <> 0 THEN '' WHEN link_code IS NULL THEN 'unreachable' WHEN link_code IN (404, 410) THEN 'dead' WHEN link_code >= 400 THEN 'error' ELSE 'ok' END AS link,
   CASE WHEN doc_id % 31 <> 0 THEN CAST(DATE '2024-01-02' + CAST(doc_id % 30 AS INT) AS DATE) ELSE DATE '2024-02-01' END AS first_seen, doc_id % 31 = 0 AS is_new FROM listed),
-l AS (SELECT k.*, c.key IS NOT NULL AS found, c.name AS co_name, c.status AS co_status,
-  CASE WHEN ntitle = '' THEN 0 ELSE row_number() OVER (PARTITION BY ntitle, cif_key, lower(place) ORDER BY date, url) - 1 END AS dup_index
-  FROM keyed k LEFT JOIN catalog c ON nullif(k.cif_key, '') = c.key)"""
+l AS (SELECT k.*, p.loc_kind, p.loc_value, p.loc_how, p.loc_county, c.key IS NOT NULL AS found, c.name AS co_name, c.status AS co_status,
+  CASE WHEN ntitle = '' THEN 0 ELSE row_number() OVER (PARTITION BY ntitle, cif_key, coalesce(nullif(p.loc_value, ''), lower(place)) ORDER BY date, url) - 1 END AS dup_index
+  FROM keyed k LEFT JOIN catalog c ON nullif(k.cif_key, '') = c.key LEFT JOIN places p ON p.raw = k.place)"""
 _IN = lambda values: ", ".join(f"'{v}'" for v in values)
 RULES = {
     "missing_title": f"{trim('title')} = ''",
@@ -81,6 +94,10 @@ RULES = {
     "cif_orphan": "cif <> '' AND NOT found",
     "company_mismatch": f"found AND company <> '' AND lower({trim('company')}) <> lower({trim('co_name')})",
     "company_not_active": f"found AND co_status IN ({_IN(C.NOT_ACTIVE)})",
+    "loc_gibberish": "loc_kind = 'junk' AND loc_how IN ('unrecognised', 'not-a-place')",
+    "loc_placeholder": "loc_kind = 'junk' AND loc_how = 'placeholder'",
+    "loc_foreign": "loc_kind = 'international'",
+    "loc_county_unknown": "loc_kind = 'fixed' AND coalesce(loc_county, '') = ''",
     "title_adult": "title LIKE 'hostess masaj %'",
     "contact_in_ad": rf"regexp_matches(title, '{PHONE}') OR regexp_matches(title, '(?:^|[^A-Za-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+\.[a-z]{{2,}}')",
     "title_too_short": f"{trim('title')} <> '' AND length({letters('title')}) < 3",
@@ -91,7 +108,17 @@ RULES = {
     "url_error": "link = 'error'",
     "url_dead": "link = 'dead'",
 }
-NEVER = ("loc_gibberish", "loc_placeholder", "loc_foreign", "loc_county_unknown")  # these need a gazetteer, which listings don't have
+_CIF = "cif || '  ' || company"
+_TAGS = "replace(tag_list, ',', ', ')"
+#: What is shown of a row that breaks a rule; its title where no other is given.
+EVIDENCE = {
+    "missing_cif": "company", "url_invalid": "l.url", "title_untrimmed": "'\"' || title || '\"'", "company_not_uppercase": "company", "company_html": "company", "tags_diacritics": _TAGS, "tags_not_lowercase": _TAGS,
+    "tags_too_many": "len(string_split(tag_list, ',')) || ' tags: ' || array_to_string(string_split(tag_list, ',')[1:6], ', ') || '…'", "workmode_invalid": "workmode", "status_invalid": "status", "company_status_invalid": "company || '  → ' || co_status", "date_invalid": "date",
+    "vdate_while_scraped": "title || '  vdate ' || vdate", "expiration_too_far": "'vdate ' || vdate || '  → ' || expirationdate", "salary_bad_format": "pay", "cif_not_8_digits": _CIF, "cif_ro_prefix": _CIF, "cif_bad_checksum": _CIF, "cif_orphan": _CIF,
+    "company_mismatch": "company || '  ≠  ' || co_name", "company_not_active": "company || '  → ' || co_status", "loc_gibberish": "place", "loc_placeholder": "place", "loc_foreign": "place", "loc_county_unknown": "loc_value || ' (' || place || ')'",
+    "repeated_listing": "title || '  → ' || coalesce(nullif(loc_value, ''), place)", "stale_scraped": "title || '  → ' || age || ' days'", "very_old": "title || '  → ' || age || ' days'", "url_error": "coalesce(CAST(link_code AS VARCHAR), '') || '  ' || l.url",
+    "url_dead": "coalesce(CAST(link_code AS VARCHAR), '') || '  ' || l.url",
+}
 META = "meta(ordinal, check_id, question, severity) AS (VALUES " + ", ".join(f"({k}, '{c.id}', {repr(c.counts_for) if c.counts_for else 'NULL'}, '{c.severity}')" for k, c in enumerate(C.CATALOG)) + ")"
 ISSUES = "issues AS (" + " UNION ALL ".join(f"SELECT doc_id, url, host, '{k}' AS check_id FROM l WHERE {v}" for k, v in RULES.items()) + ")"
 BAD = "bad AS (SELECT DISTINCT i.doc_id FROM issues i JOIN meta m USING (check_id) WHERE m.severity = 'grav')"

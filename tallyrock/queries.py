@@ -15,8 +15,9 @@ from .operators import checks as C
 from .operators import dedupe, filters, places, probe, stats
 from .operators import state as S
 from .plans import trend
-from .sources import readers
+from .sources import readers, store
 
+_DAY = "2024-01-15"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,13 +76,118 @@ def check_top_hosts(spark, sf_dir):
     return stats.top_hosts_per_check(rows_of(spark, sf_dir))
 
 
-_SHOWN = {"title_too_long": "title", "title_html": "title", "title_adult": "title", "title_allcaps": "title", "workmode_invalid": "workmode", "status_invalid": "status", "company_not_uppercase": "company", "date_invalid": "date", "salary_bad_format": "pay", "url_invalid": "l.url", "cif_orphan": "cif || '  ' || company"}
-_SHOWN_SQL = "CASE check_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SHOWN.items()) + " END"
+_SHOWN = "CASE check_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in O.EVIDENCE.items()) + " ELSE title END"
 
 
-@query(O.WITH + f", shown AS (SELECT check_id, left({_SHOWN_SQL}, 120) AS evidence, i.url, i.host FROM issues i JOIN l USING (doc_id)), firsts AS (SELECT check_id, evidence, min(url) AS url, arg_min(host, url) AS host FROM shown WHERE evidence <> '' GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY url, evidence) AS rank FROM firsts) WHERE rank <= 3")
+@query(O.WITH + f", shown AS (SELECT check_id, left({_SHOWN}, 120) AS evidence, i.url, i.host FROM issues i JOIN l USING (doc_id)), firsts AS (SELECT check_id, evidence, min(url) AS url, arg_min(host, url) AS host FROM shown WHERE evidence <> '' GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY url, evidence) AS rank FROM firsts) WHERE rank <= 3")
 def check_samples(spark, sf_dir):
-    return stats.samples(rows_of(spark, sf_dir)).filter(F.col("check_id").isin(list(_SHOWN)))
+    return stats.samples(rows_of(spark, sf_dir))
+
+
+# --- map ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {O.CASES} SELECT raw, loc_kind AS kind, loc_value AS value, loc_how AS how, loc_county AS county FROM places")
+def place_cases(spark, sf_dir):
+    raws = spark.createDataFrame([(r,) for r in D.RAW_PLACES], "raw string")
+    return places.resolve(raws, D.gazetteer(spark)).select("raw", "kind", "value", "how", "county")
+
+
+@query(O.WITH + "SELECT loc_county AS county, count(*) AS jobs FROM r WHERE NOT affected AND loc_kind = 'fixed' AND loc_county <> '' GROUP BY 1")
+def map_counties(spark, sf_dir):
+    return stats.counties(rows_of(spark, sf_dir))
+
+
+@query(O.WITH + "SELECT loc_value AS locality, count(*) AS jobs FROM r WHERE NOT affected AND loc_kind = 'fixed' GROUP BY 1 ORDER BY jobs DESC, locality LIMIT 30")
+def map_localities(spark, sf_dir):
+    return stats.localities(rows_of(spark, sf_dir))
+
+
+@query(O.WITH + f", c AS (SELECT affected, {O.PLACE_CLASS} AS class FROM r) SELECT count(*) FILTER (NOT affected AND class = 'placed') AS placed, " + ", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in ("foreign", "placeholder", "gibberish", "empty", "ambiguous")) + ", count(*) FILTER (NOT affected AND class = 'ambiguous') AS ambiguous_trusted FROM c")
+def map_unplaced(spark, sf_dir):
+    return stats.unplaced(rows_of(spark, sf_dir))
+
+
+@query(O.WITH + "SELECT loc_value AS place, count(*) AS jobs FROM r WHERE loc_kind = 'international' GROUP BY 1 ORDER BY jobs DESC, place LIMIT 20")
+def map_foreign(spark, sf_dir):
+    return stats.foreign_places(rows_of(spark, sf_dir))
+
+
+@query(O.WITH + "SELECT CASE WHEN place = '' THEN '(gol)' ELSE place END AS raw, count(*) AS jobs FROM r WHERE loc_kind = 'junk' GROUP BY 1 ORDER BY jobs DESC, raw LIMIT 30")
+def map_raw_unplaced(spark, sf_dir):
+    return stats.raw_unplaced(rows_of(spark, sf_dir))
+
+
+@query(O.WITH + ", c AS (SELECT loc_county AS county, count(*) AS jobs FROM r WHERE NOT affected AND loc_kind = 'fixed' AND loc_county <> '' GROUP BY 1), a AS (SELECT unnest(['ARBOR', 'Brezan', 'Nowhere']) AS name) SELECT name, coalesce(jobs, 0) AS jobs, round(log10(coalesce(jobs, 0) + 1), 9) AS scale FROM a LEFT JOIN c ON lower(county) = lower(name)")
+def map_scale(spark, sf_dir):
+    areas = spark.createDataFrame([("ARBOR",), ("Brezan",), ("Nowhere",)], "name string")
+    return stats.county_scale(areas, stats.counties(rows_of(spark, sf_dir))).select("name", "jobs", F.round("scale", 9).alias("scale"))
+
+
+# --- what the screens derive --------------------------------------------------------------------------------------------
+
+
+@query(O.WITH + "SELECT host, count(*) AS jobs FROM r GROUP BY 1 HAVING count(*) >= 20")
+def large_sources(spark, sf_dir):
+    r = D.analysed(spark, sf_dir)
+    return stats.large_sources(stats.source_counts(r.rows, r.today, r.since)).select("host", "jobs")
+
+
+@query(O.WITH + "SELECT m.check_id, count(*) AS count FROM meta m JOIN issues i USING (check_id) GROUP BY m.check_id, m.severity ORDER BY CASE m.severity WHEN 'grav' THEN 0 WHEN 'minor' THEN 1 ELSE 2 END, count DESC, check_id LIMIT 12")
+def worst_checks(spark, sf_dir):
+    return stats.worst_checks(stats.check_counts(rows_of(spark, sf_dir))).select("check_id", "count")
+
+
+@query(O.WITH + "SELECT m.check_id, m.severity, count(*) AS count FROM meta m JOIN issues i USING (check_id) WHERE i.host = 'src3.example.ro' GROUP BY 1, 2")
+def source_sheet(spark, sf_dir):
+    return stats.source_sheet(rows_of(spark, sf_dir), "src3.example.ro").select("check_id", "severity", "count")
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n - lag(n) OVER (ORDER BY day) AS delta, CASE WHEN lag(n) OVER (ORDER BY day) IS NULL THEN 'first' WHEN n > lag(n) OVER (ORDER BY day) THEN 'up' WHEN n < lag(n) OVER (ORDER BY day) THEN 'down' ELSE 'same' END AS direction FROM d")
+def daily_change(spark, sf_dir):
+    days = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    before = days.select(F.date_add("day", 1).alias("day"), F.col("n").alias("before"))
+    return days.join(before, "day", "left").select("day", stats.change(F.col("n"), F.col("before")).alias("c")).select("day", "c.*")
+
+
+@query(O.WITH + "SELECT l.url, CASE WHEN doc_id % 2 = 0 THEN link ELSE '' END AS link, CASE WHEN doc_id % 2 = 0 AND link <> '' THEN link_code END AS link_code FROM l")
+def links_carried_over(spark, sf_dir):
+    rows = rows_of(spark, sf_dir)
+    return probe.carried_over(rows, rows.filter("doc_id % 2 = 0")).select("url", "link", "link_code")
+
+
+# --- what runs keep -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS url, DATE '2024-01-15' AS first_seen FROM events")
+def state_roundtrip(spark, sf_dir):
+    root = store.new_folder(spark, "state")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url")).distinct()
+    store.save_state(rows.select("url", F.lit(_DAY).cast("date").alias("first_seen"), F.lit(None).cast("date").alias("missing_since")), root)
+    return store.load_state(spark, root).select("url", "first_seen")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS jobs FROM events GROUP BY 1")
+def history_upserts(spark, sf_dir):
+    """Days written one half before the other, one of them twice: the last of a day stays."""
+    path = store.new_folder(spark, "history")
+    totals_ = F.struct(F.count(F.lit(1)).alias("jobs"), *(F.lit(0).cast("bigint").alias(c) for c in ("companies", "trusted", "affected", "format")))
+    days = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(totals_.alias("totals"))
+    none = {c: F.lit(None).cast(t) for c, t in (("incoming", "struct<jobs:bigint,affected:bigint,gone:bigint>"), ("questions", "array<struct<id:string,affected:bigint>>"), ("sources", "array<struct<host:string,jobs:bigint,affected:bigint>>"))}
+    rows = days.withColumn("run_at", F.lit("x")).withColumns(none).select("run_at", "totals", "incoming", "questions", "sources", "day")
+    wrong = rows.withColumn("totals", F.col("totals").withField("jobs", F.lit(-1).cast("bigint")))
+    store.upsert_history(wrong.filter("day(day) <= 10"), path)
+    store.upsert_history(rows.filter("day(day) <= 20"), path)
+    store.upsert_history(rows.filter("day(day) > 20"), path)
+    return store.load_history(spark, path).select("day", F.col("totals.jobs").alias("jobs"))
+
+
+@query("SELECT 'run' AS source, count(*) AS jobs FROM documents")
+def summary_roundtrip(spark, sf_dir):
+    root = store.new_folder(spark, "summary")
+    store.write_summary(spark, {"jobs": read(spark, sf_dir, "documents").count()}, root)
+    found, source = store.load_summary(spark, root)
+    return spark.createDataFrame([(source, found["jobs"])], "source string, jobs long")
 
 
 # --- overview, companies, occupations -----------------------------------------------------------------------------------
@@ -257,7 +363,7 @@ def dup_group_sizes(spark, sf_dir):
 _FILTERS = {
     "check": ("title_html", "doc_id IN (SELECT doc_id FROM issues WHERE check_id = 'title_html')"), "question": ("exista", "doc_id IN (SELECT doc_id FROM issues JOIN meta USING (check_id) WHERE question = 'exista')"),
     "trusted": (True, "NOT affected"), "affected": (True, "affected"), "new": (True, "is_new"), "days": (5, "first_seen >= DATE '2024-01-28'"), "first_day": ("2024-01-20", "first_seen = DATE '2024-01-20'"), "host": ("src3.example.ro", "host = 'src3.example.ro'"),
-    "rawloc": ("Sibiu", "place = 'Sibiu'"), "workmode": ("(gol)", "workmode = ''"), "status": ("scraped", "status = 'scraped'"), "title": ("12 x", "ntitle = '12 x'"), "tag": ("en", "list_contains(string_split(tag_list, ','), 'en')"),
+    "rawloc": ("Lunca, Brezan", "place = 'Lunca, Brezan'"), "county": ("arbor", "loc_county = 'Arbor'"), "locality": ("Monteluna", "loc_value = 'Monteluna'"), "place": ("Bologna", "loc_value = 'Bologna'"), "loc": ("ambiguous", f"{O.PLACE_CLASS} = 'ambiguous'"), "workmode": ("(gol)", "workmode = ''"), "status": ("scraped", "status = 'scraped'"), "title": ("12 x", "ntitle = '12 x'"), "tag": ("en", "list_contains(string_split(tag_list, ','), 'en')"),
     "fresh": ("≤30", "age <= 30 AND age > 7"), "link": ("dead", "link = 'dead'"), "linkbad": (True, "link IN ('dead', 'error')"), "q": ("SUPPLIER#00000001", "contains(lower(company), 'supplier#00000001') OR contains(ntitle, 'supplier#00000001')"), "company": ("10000009", "cif_key = '10000009'"),
 }
 
@@ -308,9 +414,14 @@ def script_shares(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("lang", X.latin_share("text").alias("share"), caps.alias("caps")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("share") < 1).alias("mixed"), F.count_if("caps").alias("capitals"))
 
 
-@query(rf"SELECT role, count(*) AS n FROM conversations WHERE regexp_matches(text, '{O.PHONE}') OR regexp_matches(text, '(?:^|[^A-Za-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+\.[a-z]{{2,}}') OR regexp_matches(text, '(?:^|[^A-Za-z0-9_])[1-8][0-9]{{12}}(?:[^A-Za-z0-9_]|$)') GROUP BY 1")
+#: Conversations have no such contacts, so some are written into them: right ones, and near misses.
+_CONTACTS = "text || CASE conv_id % 7 WHEN 0 THEN ' 0722 123 456' WHEN 1 THEN ' ana@firma.ro' WHEN 2 THEN ' 1900101123456 ' WHEN 3 THEN ' 0622 123 456' WHEN 4 THEN ' ana@firma' WHEN 5 THEN ' 9900101123456' ELSE '' END"
+
+
+@query(rf"SELECT role, conv_id % 7 AS kind, count(*) AS n FROM (SELECT conv_id, role, {_CONTACTS} AS text FROM conversations) WHERE regexp_matches(text, '{O.PHONE}') OR regexp_matches(text, '(?:^|[^A-Za-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+\.[a-z]{{2,}}') OR regexp_matches(text, '(?:^|[^A-Za-z0-9_])[1-8][0-9]{{12}}(?:[^A-Za-z0-9_]|$)') GROUP BY 1, 2")
 def contacts_in_turns(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").filter(C.has_contact(F.col("text"))).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    rows = read(spark, sf_dir, "conversations").withColumn("text", F.expr(_CONTACTS))
+    return rows.filter(C.has_contact(F.col("text"))).groupBy("role", (F.col("conv_id") % 7).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _CIF = "lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0')"
@@ -378,8 +489,6 @@ def event_codes_merged(spark, sf_dir):
 
 # --- state and history on events ----------------------------------------------------------------------------------------
 
-_DAY = "2024-01-15"
-
 
 @query(f"WITH before AS (SELECT user_id, min(CAST(ts AS DATE)) AS first FROM events WHERE CAST(ts AS DATE) < DATE '{_DAY}' AND user_id % 5 <> 0 GROUP BY 1), now AS (SELECT DISTINCT user_id FROM events WHERE CAST(ts AS DATE) = DATE '{_DAY}') SELECT CAST(user_id AS VARCHAR) AS url, coalesce(first, DATE '{_DAY}') AS first_seen, first IS NULL AS is_new, greatest(0, DATE '{_DAY}' - coalesce(first, DATE '{_DAY}')) AS days_here FROM now LEFT JOIN before USING (user_id)")
 def first_seen_users(spark, sf_dir):
@@ -420,11 +529,7 @@ def recent_runs(spark, sf_dir):
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 def rows_roundtrip(spark, sf_dir):
     """Rows written as sorted JSON lines and read again, counted by day."""
-    import tempfile
-
-    from .sources import store
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tallyrock-')}/rows-roundtrip"
+    root = store.new_folder(spark, "rows")
     rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.to_date("ts").cast("string").alias("date"))
     store.write_rows(rows, root)
     return store.scan_rows(spark, root, "url string, date string").groupBy(F.col("date").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -451,9 +556,18 @@ def gazetteer_names(spark, sf_dir):
     return places.resolve(rows.select(F.explode(texts).alias("raw")), g).select("raw", "kind", "value", "how")
 
 
-@query(f"WITH n AS ({_NAMES}), t AS (SELECT DISTINCT left(name, length(name) - 1) AS raw FROM n), c AS (SELECT raw, name, levenshtein(raw, name) AS d FROM t JOIN n ON abs(length(raw) - length(name)) <= CASE WHEN length(raw) <= 9 THEN 1 ELSE 2 END), b AS (SELECT raw, min(d) AS d FROM c GROUP BY 1), u AS (SELECT raw, d, count(DISTINCT name) AS names, min(name) AS name FROM c JOIN b USING (raw, d) GROUP BY 1, 2) SELECT raw, upper(left(name, 1)) || substr(name, 2) AS value, 'typo-fixed (distance ' || d || ')' AS how FROM u WHERE names = 1 AND d BETWEEN 1 AND CASE WHEN length(raw) <= 9 THEN 1 ELSE 2 END AND d / greatest(length(raw), length(name)) <= 0.15")
+# a last letter is lost: of two names that differ in it alone, neither is nearest
+_LONG = "SELECT s_suppkey AS k, 'localitatea' || translate(CAST(s_suppkey * 79193 + 1000003 AS VARCHAR), '0123456789', 'abcdefghik') AS name FROM supplier"
+
+
+@query(f"WITH n AS ({_LONG}), every AS (SELECT name FROM n UNION SELECT left(name, length(name) - 1) || 'x' FROM n WHERE k % 3 = 0), t AS (SELECT DISTINCT left(name, length(name) - 1) AS raw FROM n), c AS (SELECT raw, name, levenshtein(raw, name) AS d FROM t JOIN every ON abs(length(raw) - length(name)) <= 2 WHERE raw NOT IN (SELECT name FROM every)), b AS (SELECT raw, min(d) AS d FROM c GROUP BY 1), u AS (SELECT raw, d, count(DISTINCT name) AS names, min(name) AS name, max(length(name)) AS longest FROM c JOIN b USING (raw, d) GROUP BY 1, 2) SELECT raw, upper(left(name, 1)) || substr(name, 2) AS value, 'typo-fixed (distance ' || d || ')' AS how FROM u WHERE names = 1 AND d BETWEEN 1 AND 2 AND d / greatest(length(raw), longest) <= 0.15")
 def gazetteer_fuzzy(spark, sf_dir):
-    rows, g = _places(spark, sf_dir)
+    key = F.col("s_suppkey")
+    name = F.concat(F.lit("Localitatea"), F.translate((key * 79193 + 1000003).cast("string"), "0123456789", "abcdefghik"))
+    rows = read(spark, sf_dir, "supplier").select(key.alias("k"), name.alias("name"))
+    near = rows.filter("k % 3 = 0").select(F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x")).alias("name"))
+    index = rows.select("name").unionByName(near).distinct().select(F.col("name").alias("key"), "name", F.lit("Sat").alias("county"), F.lit("town").alias("type"))
+    g = places.build(index, None, spark.createDataFrame([("Judet",)], "name string"))
     found = places.resolve(rows.select(F.lower(F.expr("left(name, length(name) - 1)")).alias("raw")), g)
     return found.filter("kind = 'fixed'").select("raw", "value", "how")
 

@@ -10,12 +10,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import enrich, places, probe
+from .operators import state as marks
 from .plans import analysis
+from .sources import store
 
 NOW, TODAY = "2024-02-01T00:00:00Z", "2024-02-01"
 
 
-
 def fiscal_id(k: str) -> str:
     """SQL for an eight-digit fiscal id with a right checksum, different for each value of k."""
     body = f"CAST(1000000 + ({k}) * 37 AS STRING)"
@@ -24,6 +26,22 @@ def fiscal_id(k: str) -> str:
 
 
 COMPANY = "doc_id % 97"
+#: Places as listings write them, of every kind that resolution tells apart.
+RAW_PLACES = (
+    "Valdoria", "VALDORIA, Romania", "Str. Lunga nr. 4, Monteluna", "comuna Pietralunga", "undeva langa Monteluna in sat", "Lunca", "Lunca, Brezan", "Sector 3, București", "Bukarest", "407123", "407124", "Pietralungacentru", "Monteluma",
+    "Valdxxia", "maresta", "Bologna", "kenya", "remote", "Romania, all", "", "AB-1234-XY", "Fagetel, Dorna", "Fagetol, Dorna", "Sf. Andrei", "Arbor", "Valdoria", "Monteluna",
+)
+#: An invented gazetteer: a name in two counties, a postal code of two places, two names that differ in one letter, and a county that only localities name.
+INDEX = (
+    ("valdoria", "Valdoria", "Arbor", "seat"), ("monteluna", "Monteluna", "Brezan", "seat"), ("pietralunga", "Pietralunga", "Brezan", "town"), ("sfantuandrei", "Sfântu Andrei", "Cornet", "town"), ("lunca", "Lunca", None, "village"),
+    ("bucuresti", "București", "București", "seat"), ("marenta", "Marenta", "Arbor", "village"), ("marelta", "Marelta", "Brezan", "village"),
+)
+LOCALITIES = (
+    ("Valdoria", "Arbor", 1, "seat", None, None), ("Pietralunga", "Brezan", 4, "town", None, None), ("Lunca", "Arbor", 22, "village", None, None), ("Lunca", "Brezan", 22, "village", None, None), ("Poiana Alba", "Cornet", 22, "village", "407123", ("Comuna Alba", 5)),
+    ("Fagetel", "Dorna", 22, "village", "407124", None), ("Stejaris", "Dorna", 22, "village", "407124", None),
+)
+COUNTIES = ("Arbor", "Brezan", "Cornet")
+PLACE = "CASE doc_id % 27 " + " ".join(f"WHEN {k} THEN '{raw}'" for k, raw in enumerate(RAW_PLACES)) + " END"
 LISTINGS = f"""
 SELECT doc_id,
   CASE WHEN doc_id % 53 = 0 THEN 'ftp://' || source || '.example.ro/' || CAST(doc_id AS STRING) WHEN doc_id % 47 = 0 THEN '/job/' || CAST(doc_id AS STRING)
@@ -34,7 +52,7 @@ SELECT doc_id,
     WHEN doc_id % 13 = 0 AND lang = 'en' THEN upper(substr(text, 1, 24)) WHEN doc_id % 11 = 0 THEN substr(text, 1, 260) ELSE substr(split_part(text, '.', 1), 1, 12) END AS title,
   CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 5 = 0 THEN 'Supplier#' || lpad(CAST({COMPANY} AS STRING), 9, '0') WHEN doc_id % 103 = 0 THEN 'A&quot;B SRL' ELSE 'SUPPLIER#' || lpad(CAST({COMPANY} AS STRING), 9, '0') END AS company,
   CASE WHEN doc_id % 37 = 0 THEN '' WHEN doc_id % 41 = 0 THEN 'RO' || {fiscal_id(COMPANY)} WHEN doc_id % 43 = 0 THEN '12345' WHEN doc_id % 51 = 0 THEN CAST(10000001 + doc_id AS STRING) ELSE {fiscal_id(COMPANY)} END AS cif,
-  CASE WHEN doc_id % 67 = 0 THEN '' ELSE 'Sibiu' END AS place,
+  {PLACE} AS place,
   CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'Sofer,transport' WHEN doc_id % 6 = 0 THEN 'șofer' WHEN doc_id % 101 = 0 THEN repeat('t,', 20) || 't' ELSE lang || ',' || source || ',' || lang END AS tag_list,
   CASE WHEN doc_id % 8 = 0 THEN '' WHEN doc_id % 8 = 1 THEN 'office' WHEN doc_id % 8 = 2 THEN 'remote' WHEN doc_id % 8 = 3 THEN 'hybrid' ELSE 'on-site' END AS workmode,
   CASE WHEN doc_id % 33 = 0 THEN '' WHEN doc_id % 34 = 0 THEN 'soon' WHEN doc_id % 35 = 0 THEN '2025-01-01T00:00:00Z'
@@ -83,7 +101,28 @@ def state(rows: DataFrame) -> DataFrame:
     return known.unionByName(left)
 
 
+def gazetteer(spark: SparkSession) -> places.Gazetteer:
+    index = spark.createDataFrame(list(INDEX), "key string, name string, county string, type string")
+    localities = spark.createDataFrame(list(LOCALITIES), "name string, county string, type int, type_label string, postal_code string, parent struct<name:string,type:int>")
+    return places.build(index, localities, spark.createDataFrame([(c,) for c in COUNTIES], "name string"))
+
+
+#: Where the rows of a session's analyses are stored, by application and folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def analysed(spark: SparkSession, sf_dir: str) -> analysis.Result:
-    rows = listings(spark, sf_dir)
-    responses = rows.filter("doc_id % 3 = 0").select("url", "link_code", F.lit("").alias("link_reason"))
-    return analysis.analyse(rows.drop("link_code"), view(spark, sf_dir, COMPANIES, "supplier"), None, state(rows), NOW, responses=responses, persist=False)
+    """The analysis of the listings. As in a run, rows are stored once, and all that is counted reads them; Spark's own files go with the folder."""
+    raw = listings(spark, sf_dir)
+    before, companies = state(raw), view(spark, sf_dir, COMPANIES, "supplier")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not store.exists(spark, _STORED[key]):
+        responses = raw.filter("doc_id % 3 = 0").select("url", "link_code", F.lit("").alias("link_reason"))
+        result = analysis.analyse(raw.drop("link_code"), companies, gazetteer(spark), before, NOW, responses=responses, persist=False)
+        path = store.new_folder(spark, "analysed")
+        result.rows.write.parquet(path)
+        result.close()
+        _STORED[key] = path
+    rows = spark.read.parquet(_STORED[key])
+    marked = marks.Marked(rows, before, spark.createDataFrame([], "fresh long"), marks.baseline_day(before))
+    return analysis.Result(rows, enrich.companies(companies), marked, probe.per_host(rows), NOW, TODAY, [])

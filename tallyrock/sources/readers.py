@@ -5,6 +5,8 @@ Sources are read-only: there is no function that writes to one.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,25 @@ from pyspark.sql import functions as F
 JOB_FIELDS = ("url", "title", "company", "cif", "location", "tags", "workmode", "date", "status", "vdate", "expirationdate", "salary")
 COMPANY_FIELDS = ("id", "company", "status", "scraperFile", "lastScraped")
 LISTS = ("location", "tags")
+#: Characters of a source's own message that an error repeats.
+LONGEST_MESSAGE = 300
+
+
+class SourceError(Exception):
+    """A source can't be read: which one, the kind of error, and the beginning of its message."""
+
+    def __init__(self, path: str, error: Exception):
+        self.path, self.kind = path, type(error).__name__
+        super().__init__(f"{path} can't be read ({self.kind}): {str(error)[:LONGEST_MESSAGE]}")
+
+
+def loaded(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """A source as a table. Credentials are the file system's or catalog's, in the session's settings; what it answers instead of
+    rows becomes a SourceError."""
+    try:
+        return spark.read.format(format).load(path)
+    except (PySparkException, Py4JJavaError) as e:
+        raise SourceError(path, e) from e
 
 
 def _kind(v: Column) -> Column:
@@ -58,7 +79,7 @@ def typed(docs: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, fields: tuple[str, ...], where: str | None = None, format: str = "parquet", sort: str | None = None) -> DataFrame:
     """The fields of a source; filters and columns reach the files. In no order unless sort is given."""
-    rows = spark.read.format(format).load(path)
+    rows = loaded(spark, path, format)
     rows = rows.filter(where) if where else rows
     rows = rows.select(*(f for f in fields if f in rows.columns))
     return rows.orderBy(sort) if sort else rows

@@ -7,12 +7,15 @@ half-written table and a table can be replaced by what was read from it.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+import warnings
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 STATE = "url string, first_seen date, missing_since date"
 HISTORY = "run_at string, totals struct<jobs:bigint,companies:bigint,trusted:bigint,affected:bigint,format:bigint>, incoming struct<jobs:bigint,affected:bigint,gone:bigint>, questions array<struct<id:string,affected:bigint>>, sources array<struct<host:string,jobs:bigint,affected:bigint>>, day date"
@@ -28,6 +31,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(at))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the one that driver and executors share; in a local one where that is unset, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyrock-")
+    return f"{at.rstrip('/')}/tallyrock-{name}-{uuid.uuid4().hex}"
+
+
 class Versions:
     """A table with a current version: folders named by number, the largest with a marker being current."""
 
@@ -137,16 +146,23 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame:
-    """The first-seen state; missing or unreadable state is empty."""
+    """The first-seen state; none, or one that can't be read as a table, is empty.
+
+    It is read whole once, so that what can't be read shows here and not in the run. A root that can't be reached is an error: to
+    take it for an empty state would make every row new.
+    """
     path = Versions(spark, root).path()
+    if path is None:
+        return spark.createDataFrame([], STATE)
+    state = spark.read.schema(STATE).parquet(path)
     try:
-        if path:
-            state = spark.read.schema(STATE).parquet(path)
-            state.limit(1).count()
-            return state
-    except AnalysisException:
-        pass
-    return spark.createDataFrame([], STATE)
+        state.agg(F.count("url"), F.count("first_seen"), F.count("missing_since")).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        if not exists(spark, path):
+            raise
+        warnings.warn(f"the state at {path} can't be read and counts as empty: {str(e)[:200]}", stacklevel=2)
+        return spark.createDataFrame([], STATE)
+    return state
 
 
 def save_state(state: DataFrame, root: str) -> str:

@@ -56,3 +56,17 @@ def test_gazetteer(spark):
     assert g.postal.filter("code = '527180'").count() == 0  # two places share it
     assert g.names.filter("key = 'dornacandrenilor'").count() == 1  # only a parent
     assert {r.key: r.county for r in g.county_of.collect()}["cluj"] == "Cluj"
+
+
+def test_foreign_names():
+    from tallyrock.operators.vocabulary import FOREIGN
+
+    assert len(FOREIGN) == len(set(FOREIGN)) == 321
+    assert {"bologna", "boston", "breda", "bristol", "bergen", "ankara", "kenya", "chennai", "estulgermaniei", "republicofmoldova"} <= set(FOREIGN)
+
+
+def test_county_names_lose_their_rank(spark):
+    from tallyrock.functions.keys import plain_county
+
+    rows = spark.createDataFrame([("Municipiul  București",), ("municipiul\u00a0Iași",), ("Cluj",)], "c string")
+    assert [r[0] for r in rows.select(plain_county("c")).collect()] == ["București", "Iași", "Cluj"]

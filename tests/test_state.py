@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from tallyrock.operators import state as S
 from tallyrock.sources import store
 
@@ -44,3 +46,26 @@ def test_state_is_kept_between_runs(spark, tmp_path):
         store.save_state(m.state, root)
     assert {r.url: r.missing_since for r in store.load_state(spark, root).collect()} == {"a": D[1], "b": None}
     assert S.gone(store.load_state(spark, root), urls(spark, "b")).count() == 1
+
+
+def test_unreadable_state_is_empty(spark, tmp_path):
+    from tallyrock.sources import store
+
+    root = str(tmp_path / "state")
+    assert store.load_state(spark, root).count() == 0
+    store.save_state(spark.createDataFrame([("u", None, None)], store.STATE), root)
+    assert store.load_state(spark, root).count() == 1
+    for name, content in (("v2", b"garbage, not a table"), ("v3", b"")):
+        (tmp_path / "state" / name).mkdir()
+        (tmp_path / "state" / name / "part-0.parquet").write_bytes(content)
+        if content:
+            with pytest.warns(UserWarning, match="counts as empty"):
+                assert store.load_state(spark, root).count() == 0
+
+
+def test_source_errors(spark, tmp_path):
+    from tallyrock.sources import readers
+
+    with pytest.raises(readers.SourceError, match="can't be read") as e:
+        readers.scan(spark, str(tmp_path / "nowhere"), ("url",))
+    assert e.value.path.endswith("nowhere") and len(str(e.value)) < 600
