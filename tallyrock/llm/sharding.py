@@ -4,9 +4,10 @@ A store is a folder: ``data/<commit>/part-*`` holds shards, which are never chan
 of version n: path (relative to the store), bytes, rows, tier. ``append`` writes arrivals as shards of about
 ``arrival_bytes``. A shard's tier follows from its size alone: 0 up to ``SMALLEST`` bytes, and one more for each factor
 ``fan_in``, until it has half of ``target_bytes``, which is where merging ends. ``compact`` merges the tiers that hold at
-least ``fan_in`` shards into files of up to ``target_bytes``: the scan packs whole small files into partitions of the target's
-size, each of which is written as one file, so merging moves no row between tasks. Two files below half the target fit into
-one, so a merge always lessens the shards, and n arrivals leave at most fan_in - 1 shards of each of the log(n) tiers.
+least ``fan_in`` shards into as few files of about ``target_bytes`` as hold them: the scan packs whole small files into partitions
+of the target's size, which are coalesced to that number and written as one file each, so merging shuffles nothing. Two files below
+half the target fit into one, so a merge always lessens the shards, and n arrivals leave at most fan_in - 1 shards of each of
+the log(n) tiers.
 
 A commit writes the new manifest beside the others and renames it into place; the rename fails if the version exists. Of two
 writers one wins; the other tries again on top of it. What an append adds can always be added again; a merge only as long as
@@ -146,9 +147,10 @@ class Store:
         if full is None:
             return None
         merge = now.filter(F.col("tier") == full["tier"]).orderBy("path").limit(MERGE_AT_ONCE)
-        paths = [r["path"] for r in merge.select("path").collect()]  # at most MERGE_AT_ONCE
-        rows = self.packing_session(self.target_bytes).read.schema(schema).parquet(*(f"{self.root}/{p}" for p in paths))
-        return self.change(*self.write(rows), merge)
+        shards = merge.select("path", "bytes").collect()  # at most MERGE_AT_ONCE
+        rows = self.packing_session(self.target_bytes).read.schema(schema).parquet(*(f"{self.root}/{r['path']}" for r in shards))
+        files = -(-sum(r["bytes"] for r in shards) // self.target_bytes)
+        return self.change(*self.write(rows.coalesce(files)), merge)
 
     def compact_all(self, schema) -> int:
         """Merges until no tier has fan_in shards; merges that another writer forestalls are left to it."""

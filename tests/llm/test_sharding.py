@@ -67,6 +67,23 @@ def test_many_small_arrivals_leave_few_shards(spark, tmp_path):
     assert whole(s.read(schema)) == sorted(str(r) for r in want)
 
 
+def test_merges_lessen_shards_however_a_scan_is_dealt(spark, tmp_path, monkeypatch):
+    """Also where a session keeps the size of its scans' partitions whatever is asked for."""
+    s = store(spark, tmp_path, target_bytes=60_000, fan_in=2)
+    tight = spark.newSession()
+    tight.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    tight.conf.set("spark.sql.files.openCostInBytes", "100")
+    monkeypatch.setattr(s, "packing_session", lambda size: tight)
+    rng, want = random.Random(6), []
+    for k in range(6):
+        rows = [(100 * k + i, "".join(rng.choice("abcdefghijklmnop") for _ in range(400))) for i in range(20)]
+        want += rows
+        arrive(spark, s, tmp_path, f"in{k}", rows)
+    s.compact_all(docs(spark).schema)
+    shards = s.manifest().collect()
+    assert len(shards) <= 2 and whole(s.read(docs(spark).schema)) == sorted(map(str, want))
+
+
 def test_only_one_writer_commits(spark, tmp_path):
     s = store(spark, tmp_path)
     arrive(spark, s, tmp_path, "in", DOCS)
