@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyrock.llm import decontam, near, packing, pii, toxicity
-from tallyrock.llm.common import Staged, table
+from tallyrock.llm.common import Staged, checkpoint, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = staged.put(docs, name)
             if k:
                 staged.drop(STAGES[k - 1][0])
+    docs = checkpoint(docs)
+    staged.drop()
     return docs
