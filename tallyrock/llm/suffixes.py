@@ -49,10 +49,8 @@ LEADS = WORDS[: LEAD // WORD]
 
 def word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The WORD bytes at each place as a number; numbers have the order of the bytes."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(WORD):
-        out = out << np.uint64(8) | data[at + k].astype(np.uint64)
-    return (out ^ np.uint64(1 << 63)).view(np.int64)
+    every = np.ndarray((max(0, len(data) - WORD + 1),), ">u8", np.ascontiguousarray(data), strides=(1,))
+    return (every[at].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
