@@ -33,6 +33,18 @@ def latin(c: str) -> str:
     return rf"CASE WHEN length({letters(c)}) < 3 THEN 1.0 ELSE length(regexp_replace({c}, '[^\p{{Latin}}]', '', 'g')) / length({letters(c)}) END"
 
 
+def spaced(words: str) -> str:
+    """A pattern of the rules with this dialect's flags and class of white space."""
+    return words.replace("(?iu)", "(?i)").replace(C.S, SPACES).replace(C.S[1:-1], SPACES[1:-1])
+
+
+def has_words(words: str) -> str:
+    return rf"regexp_matches(title, '(?i)\b(?:{spaced(words)})\b')"
+
+
+WEAK = "(" + " + ".join(f"CAST({has_words(w)} AS INT)" for w in C.ADULT_WEAK) + ")"
+
+
 #: What each raw place of the sample gazetteer means, read off by hand: kind, value, how, county.
 PLACES = {
     "Valdoria": ("fixed", "Valdoria", "exact", "Arbor"), "VALDORIA, Romania": ("fixed", "Valdoria", "exact", "Arbor"), "Str. Lunga nr. 4, Monteluna": ("fixed", "Monteluna", "exact", "Brezan"),
@@ -82,7 +94,7 @@ RULES = {
     "title_other_alphabet": f"{latin('title')} < 0.5",
     "title_mixed_alphabets": f"{latin('title')} >= 0.85 AND {latin('title')} < 1",
     "title_fancy_letters": r"regexp_matches(title, '[\x{1D400}-\x{1D7FF}\x{FF21}-\x{FF5A}\x{2460}-\x{24FF}]')",
-    "text_mojibake": "title LIKE '%â€%'",
+    "text_mojibake": f"regexp_matches(title, '{C.MOJIBAKE}') OR regexp_matches(company, '{C.MOJIBAKE}')",
     "company_status_invalid": f"found AND co_status NOT IN ({_IN(C.COMPANY_STATUSES)})",
     "date_invalid": f"date <> '' AND ({instant('date')} IS NULL OR {instant('date')} > {NOW} + INTERVAL 1 DAY)",
     "vdate_while_scraped": "vdate <> '' AND status = 'scraped'",
@@ -98,7 +110,7 @@ RULES = {
     "loc_placeholder": "loc_kind = 'junk' AND loc_how = 'placeholder'",
     "loc_foreign": "loc_kind = 'international'",
     "loc_county_unknown": "loc_kind = 'fixed' AND coalesce(loc_county, '') = ''",
-    "title_adult": "title LIKE 'hostess masaj %'",
+    "title_adult": f"{has_words(C.ADULT_STRONG_WORDS)} OR ({has_words(C.ADULT_GENERIC_WORDS)} AND NOT {has_words(C.ADULT_NEGATION_WORDS)}) OR (NOT regexp_matches(title, '{spaced(C.CHILDREN)}') AND ({WEAK} >= 2 OR ({WEAK} >= 1 AND {has_words(C.ADULT_CLUB_WORDS)})))",
     "contact_in_ad": rf"regexp_matches(title, '{PHONE}') OR regexp_matches(title, '(?:^|[^A-Za-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+\.[a-z]{{2,}}')",
     "title_too_short": f"{trim('title')} <> '' AND length({letters('title')}) < 3",
     "title_allcaps": f"length({letters('title')}) >= 6 AND {letters('title')} = upper({letters('title')}) AND {letters('title')} <> lower({letters('title')})",

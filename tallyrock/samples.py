@@ -42,12 +42,17 @@ LOCALITIES = (
 )
 COUNTIES = ("Arbor", "Brezan", "Cornet")
 PLACE = "CASE doc_id % 27 " + " ".join(f"WHEN {k} THEN '{raw}'" for k, raw in enumerate(RAW_PLACES)) + " END"
+#: Titles on both sides of each branch of two rules: strong, weak, general, negated, club and children's words; wrongly decoded letters, and right ones.
+ADULT_TITLES = ("hostess masaj ", "model Video  Chat ", "masaj erotic ", "editor filme pentru adulți ", "non-adult content ", "hostess night club ", "hostess receptie ", "hostess masaj copii ", "videochatul ", "masaj de relaxare ")
+MOJIBAKE_TITLES = ("Junior â€“ ", "CafenÃ© bucÄƒtar ", "È™ofer ", "secÅ£ie ", "Â«montaj ", "Ãrea Åsa Âme ")
+ADULT = f"CASE doc_id % {len(ADULT_TITLES)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(ADULT_TITLES)) + " END"
+MOJIBAKE = f"CASE doc_id % {len(MOJIBAKE_TITLES)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(MOJIBAKE_TITLES)) + " END"
 LISTINGS = f"""
 SELECT doc_id,
   CASE WHEN doc_id % 53 = 0 THEN 'ftp://' || source || '.example.ro/' || CAST(doc_id AS STRING) WHEN doc_id % 47 = 0 THEN '/job/' || CAST(doc_id AS STRING)
     ELSE 'https://www.' || source || '.example.ro/job/' || CAST(doc_id AS STRING) END AS url,
-  CASE WHEN doc_id % 61 = 0 THEN '' WHEN doc_id % 59 = 0 THEN '12 x' WHEN doc_id % 71 = 0 THEN 'call 0722 123 ' || CAST(100 + doc_id % 900 AS STRING) WHEN doc_id % 73 = 0 THEN 'hostess masaj ' || CAST(doc_id AS STRING)
-    WHEN doc_id % 79 = 0 THEN 'Junior â€“ ' || CAST(doc_id AS STRING) WHEN doc_id % 83 = 0 THEN '① job nou ' || CAST(doc_id AS STRING) WHEN doc_id % 89 = 0 THEN 'Водитель ' || CAST(doc_id AS STRING)
+  CASE WHEN doc_id % 61 = 0 THEN '' WHEN doc_id % 59 = 0 THEN '12 x' WHEN doc_id % 71 = 0 THEN 'call 0722 123 ' || CAST(100 + doc_id % 900 AS STRING) WHEN doc_id % 73 = 0 THEN {ADULT} || CAST(doc_id AS STRING)
+    WHEN doc_id % 79 = 0 THEN {MOJIBAKE} || CAST(doc_id AS STRING) WHEN doc_id % 83 = 0 THEN '① job nou ' || CAST(doc_id AS STRING) WHEN doc_id % 89 = 0 THEN 'Водитель ' || CAST(doc_id AS STRING)
     WHEN doc_id % 97 = 0 THEN 'Asistent Rаdiologie si imagistica' WHEN doc_id % 23 = 0 THEN ' ' || substr(text, 1, 30) WHEN doc_id % 19 = 0 THEN substr(text, 1, 20) || ' &amp; co'
     WHEN doc_id % 13 = 0 AND lang = 'en' THEN upper(substr(text, 1, 24)) WHEN doc_id % 11 = 0 THEN substr(text, 1, 260) ELSE substr(split_part(text, '.', 1), 1, 12) END AS title,
   CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 5 = 0 THEN 'Supplier#' || lpad(CAST({COMPANY} AS STRING), 9, '0') WHEN doc_id % 103 = 0 THEN 'A&quot;B SRL' ELSE 'SUPPLIER#' || lpad(CAST({COMPANY} AS STRING), 9, '0') END AS company,

@@ -5,8 +5,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from tallyrock import oracles, queries, samples
+from tallyrock.operators import checks
 
-from tallyrock import queries
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -60,3 +63,16 @@ def test_query_equals_sql(spark, folder, name):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLES)
+
+
+def test_words_in_sql(spark):
+    """Each branch of the rules with words, both ways, in Spark and in SQL."""
+    more = ("Dansatoare si ANIMATOARE", "non adult industry", "xxx", "NON\u00a0ADULT xxx", "strip\u00a0club", "escortă", "hostess mascota masaj", "dansatoare Passion Club", "conținut pentru adulţi", "")
+    titles = [(t,) for t in (*samples.ADULT_TITLES, *samples.MOJIBAKE_TITLES, *more)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (title VARCHAR, company VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, '')", titles)
+    wanted = con.execute(f"SELECT title, {oracles.RULES['title_adult']}, {oracles.RULES['text_mojibake']} FROM t").fetchall()
+    found = spark.createDataFrame(titles, "title string").select("title", checks.looks_adult(F.col("title")), F.col("title").rlike(checks.MOJIBAKE)).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert {a for _, a, _ in wanted} == {m for _, _, m in wanted} == {True, False}
