@@ -1,9 +1,14 @@
 """Place resolution over a small gazetteer."""
 
+import random
+
 import pytest
 from fixtures import gazetteer
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tallyrock.operators import places
+from tallyrock.operators.vocabulary import Vocabulary
 
 #: Text, kind, value (None: not looked at), start of how.
 CASES = [
@@ -70,3 +75,33 @@ def test_county_names_lose_their_rank(spark):
 
     rows = spark.createDataFrame([("Municipiul  București",), ("municipiul\u00a0Iași",), ("Cluj",)], "c string")
     assert [r[0] for r in rows.select(plain_county("c")).collect()] == ["București", "Iași", "Cluj"]
+
+
+def test_nearest_equals_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["", "aaaa", "localitate"]) + "".join(rng.choice("ab1") for _ in range(rng.randint(4, 9)))
+    names = sorted({(rng.choice("xy"), word()) for _ in range(150)})
+    looked = sorted({(rng.choice("xy"), word()) for _ in range(150)})
+    pairs = places._nearest(spark.createDataFrame(looked, "g string, k string"), spark.createDataFrame([(g, c, c.upper()) for g, c in names], "g string, candidate string, name string"), ["g"])
+    found = {tuple(r) for r in pairs.withColumn("least", F.min("d").over(Window.partitionBy("g", "k"))).filter("d = least").select("g", "k", "candidate", "name", "d").collect()}
+    near = [(g, k, c, c.upper(), distance(k, c)) for g, k in looked for h, c in names if g == h and distance(k, c) <= (1 if len(k) <= 9 else 2)]
+    least = {(g, k): min(p[4] for p in near if p[:2] == (g, k)) for g, k, *_ in near}
+    assert found == {p for p in near if p[4] == least[p[:2]]}
+    assert {p[4] for p in found} == {0, 1, 2}
+
+
+def test_fuzzy_stages_join_on_what_two_texts_share(spark):
+    """Not on a first letter and a length, which very many names can have."""
+    g, parts = gazetteer(spark), places.parts_of(spark.createDataFrame([("Timisora, Cluj",)], "raw string"), Vocabulary())
+    for stage in (places.by_likeness, places.by_county):
+        plan = stage(parts, g, F.lit(False))._jdf.queryExecution().optimizedPlan().toString()
+        measured = [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
+        assert measured and all("_cut" in line for line in measured)
