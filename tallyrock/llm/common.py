@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,13 +75,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files that no DataFrame refers to any more."""
-    import gc
-
+    """Lets Spark's cleaner remove shuffle files that no DataFrame refers to any more, and the driver's heap shrink to what is in use."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def free_arrays() -> None:
+    """Gives back to the system what numpy and Arrow keep of memory that this process no longer uses."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_uid(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds uid (long), different on every row and in the order of id; nulls come first.
 

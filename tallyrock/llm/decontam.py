@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ALNUM, as_rows, checkpoint, chunks, hashes, lined, lower, mix, runs, sums, table, utf8, windows, with_uid
+from .common import ALNUM, as_rows, checkpoint, chunks, free_shuffles, hashes, lined, lower, mix, runs, sums, table, utf8, windows, with_uid
 
 RUN, WINDOW, SHORTEST, BITS = 13, 8, 4, 27
 #: Windows of a stretch; a longer one, which only a text that repeats itself has, is judged in parts.
@@ -219,6 +219,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sizes.setdefault(form, []).append(size)
     every = hashed.select("hash").distinct()
     found = checkpoint(stretches(docs, sizes, bitmap_of(every, every.count())))
+    free_shuffles(docs.sparkSession)
     verbatim = found.filter(F.col("form") == EXACT).select("uid", F.explode("windows.hash").alias("hash")).join(exact_items, "hash")
     verbatim = checkpoint(verbatim.groupBy("uid").agg(F.min(F.struct("n_items", "item_id")).alias("best"), F.count(F.lit(1)).alias("n_matched")).select("uid", "best.item_id", F.lit("verbatim").alias("kind"), "n_matched", "best.n_items"))
     other = found.filter(F.col("form") != EXACT).join(verbatim.select("uid"), "uid", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_shuffles
 
 #: Nodes with more than this share of all edges, at most twice its inverse, are known to all tasks; none with fewer edges than LEAST is.
 HUB_SHARE, LEAST = 1 / 500, 1000
@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (count, mark) == seen:
             break
         seen = (count, mark)
+        free_shuffles(e.sparkSession)
     members = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return members.unionByName(roots)

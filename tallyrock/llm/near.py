@@ -477,6 +477,7 @@ def lengths_of(matched: DataFrame, marked: DataFrame, floor: int, block: int) ->
         missed = F.col("once") * F.col("once") / (2 * F.greatest("twice", F.lit(1)))
         done = met.filter(F.col("met") >= RECALL * (F.col("met") + missed)).select("uid", F.lit(depth).alias("length"))
         settled = checkpoint(done if settled is None else settled.unionByName(done.join(settled, "uid", "left_anti")))
+        free_shuffles(matched.sparkSession)
     return settled
 
 

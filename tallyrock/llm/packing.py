@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table
+from .common import checkpoint, free_shuffles, table
 
 SIZE, END_TOKEN, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
 #: Characters that are tokenized at once, white space in a row that is tokenized by itself, and pieces that a salt of a length has at most.
@@ -152,6 +152,7 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
     spark, names = cut_pieces.sparkSession, cut_pieces.columns
     cut_pieces = checkpoint(cut_pieces.withColumn("_at_row", F.monotonically_increasing_id()))
+    free_shuffles(spark)
     histogram = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}  # at most size rows
     # a length that many pieces have is numbered by as many tasks as an equal share of all pieces needs
     share = -(-sum(histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")))

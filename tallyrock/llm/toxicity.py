@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, hashes, lined, lower, mix, sums, table, utf8, words
+from .common import chunks, free_arrays, free_shuffles, hashes, lined, lower, mix, sums, table, utf8, words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 12
 #: Bytes of a word's beginnings that have embeddings too.
@@ -236,7 +236,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     model = Classifier()
-    model.fit(found["text"].combine_chunks(), found["toxic"].to_numpy().astype(np.int64))
+    texts, toxic = found["text"].combine_chunks(), found["toxic"].to_numpy().astype(np.int64)
+    del found
+    model.fit(texts, toxic)
+    del texts
+    free_arrays()  # what training took is not needed by what follows in the driver
+    free_shuffles(docs.sparkSession)
     return model
 
 

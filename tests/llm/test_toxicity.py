@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from cases import DOCS, docs, labels, write
 
-from tallyrock.llm import toxicity
+from tallyrock.llm import common, toxicity
 
 CALM = "the of river stone cloud meadow paper window garden table quiet morning letter number simple".split()
 RUDE = "idiots idiocy moron scumbag".split()
@@ -71,3 +71,10 @@ def test_language_guess():
     texts = ["the house of the king and that was for him", "der Hund und die Katze sind nicht mit dem Mann auf", "le chat et les chiens dans une maison pour qui", "el perro y los gatos del vecino con las casas", "zzz qqq", ""]
     found = [toxicity.guess_language(h[0], o, j - i) for i, j, h, o in toxicity.hashed_words(texts)]
     assert np.concatenate(found).tolist() == [0, 1, 2, 3, 4, 4]
+
+
+def test_training_leaves_nothing_in_the_driver(spark):
+    rows = corpus(200, seed=9)
+    model = toxicity.train(docs(spark, [r[:2] for r in rows]), labels(spark, [(i, 1, y) for i, _, y in rows]))
+    assert model.fitted
+    assert not common._powers  # tables that the kernels keep otherwise
